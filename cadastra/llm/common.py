@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 #: Runs of digits, lower-case a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same for Python's ``re`` on UTF-8 bytes.
+#: What lies between words.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The words again for Python's ``re`` on UTF-8 bytes.
 WORD_BYTES = rb"[0-9a-z\x80-\xff]+"
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,7 +31,7 @@ def ascii_lower(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """Array of the words of a text; null gives an empty array."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(col, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(col, F.lit(""))), GAP), "")
 
 
 def let(value: Column, body) -> Column:

@@ -15,76 +15,77 @@ from pyspark.sql import functions as F
 from cadastra.llm.common import let, pick, table, words
 
 SPAN = 13
-GRAM = 6
+GRAM = 8
 #: Up to this many benchmark windows the benchmark side is broadcast (about 100 bytes
 #: each); beyond it both joins shuffle and adaptive execution splits hot hashes.
 BROADCAST_WINDOWS = 200_000
 
 
-def _gram_hash(tag: int, ws: Column, at: Column, size: int) -> Column:
-    return F.xxhash64(F.lit(tag), F.slice(ws, at, size))
+def _short_hash(ws: Column, at: Column, size: int) -> Column:
+    return F.xxhash64(F.lit(size), F.slice(ws, at, size))
 
 
-KIND = "array<struct<l:int,h:bigint,p:int,ctx:array<string>,n_words:int>>"
+def _over(values: Column, size: int, join) -> Column:
+    """``join`` over each ``size`` neighbours, by doubling; the last size - 1 places are void."""
+
+    def shifted(step: int):
+        return lambda a: F.zip_with(a, F.slice(a, step + 1, F.greatest(F.size(a), F.lit(1))), join)
+
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        values = let(values, shifted(step))
+        have += step
+    return values
+
+
+#: A piece from which contexts are cut has 2 ** this many words; ``slice`` copies all that it cuts from.
+PIECE = 6
 
 
 def _records(ws: Column, keys: list[str], span: int, gram: int, short: list[int]) -> Column:
     """Array of structs: one for each kept place of the words ``ws``, and one with l = 0.
 
-    A place is a 0-based word p at which the smallest hash of a window changes, or at which
-    a window's length has gone by since the last forced place; that covers periodic texts,
-    whose smallest hash never changes. ctx holds the words of all windows that the place
-    stands for."""
+    A place is a 0-based word p at which the smallest hash of a window changes. In periodic
+    texts it may stay the same for longer than a window; there every window's length is a
+    place too. ctx holds the words of all windows that a place stands for."""
     width = span - gram + 1
-    none = F.array().cast("array<bigint>")
-
-    def places(minima: Column) -> Column:
-        return F.filter(
-            F.transform(
-                minima,
-                lambda m, i: F.when(
-                    (i % width == 0) | (m != F.element_at(minima, F.greatest(i, F.lit(1)))), F.struct(i.alias("i"), m.alias("m"))
-                ),
-            ),
-            lambda x: x.isNotNull(),
+
+    def places(m: Column) -> Column:
+        def place(x: Column, i: Column) -> Column:
+            changed = (i == 0) | (x != F.element_at(m, F.greatest(i, F.lit(1))))
+            held = (i % width == 0) & (x == F.element_at(m, F.greatest(i + 1 - width, F.lit(1))))
+            return F.when(changed | held, F.struct(i.alias("i"), x.alias("m")))
+
+        return F.filter(F.transform(m, place), lambda x: x.isNotNull())
+
+    def record(size: int, h: Column, p: Column, ctx: Column, n: Column) -> Column:
+        names = ("l", "h", "p", "ctx", "n_words")
+        return F.struct(*(c.alias(k) for k, c in zip(names, (F.lit(size), h, p, ctx, n), strict=True)))
+
+    def spans(w: Column, n: Column) -> Column:
+        hashes = _over(F.transform(w, lambda x: F.xxhash64(x)), gram, lambda a, b: F.xxhash64(a, b))
+        minima = _over(hashes, width, lambda a, b: F.least(a, b))
+        minima = F.slice(minima, 1, F.greatest(n - (span - 1), F.lit(0)))
+        reach = span + 2 * width - 1
+        pieces = F.transform(
+            F.sequence(F.lit(0), F.shiftright(n, PIECE)), lambda k: F.slice(w, F.shiftleft(k, PIECE) + 1, (1 << PIECE) + reach)
         )
 
+        def kept(x: Column, pieces: Column) -> Column:
+            at = x["i"].bitwiseAND(F.lit((1 << PIECE) - 1)) + 1
+            ctx = F.slice(F.element_at(pieces, F.shiftright(x["i"], PIECE) + 1), at, reach)
+            return record(span, x["m"], x["i"], ctx, n)
+
+        return let(pieces, lambda ps: F.transform(let(minima, places), lambda x: kept(x, ps)))
+
+    def whole(w: Column, n: Column, size: int) -> Column:
+        places = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: record(size, _short_hash(w, i, size), i - 1, F.slice(w, i, size), n))
+
     def all_records(w: Column, n: Column) -> Column:
-        hashes = F.when(
-            n >= span, F.transform(F.sequence(F.lit(1), n - (gram - 1)), lambda i: _gram_hash(0, w, i, gram))
-        ).otherwise(none)
-
-        def minima(h: Column) -> Column:
-            return F.when(
-                n >= span,
-                F.transform(F.sequence(F.lit(1), n - (span - 1)), lambda i: F.array_min(F.slice(h, i, width))),
-            ).otherwise(none)
-
-        kept = let(
-            hashes,
-            lambda h: let(
-                minima(h),
-                lambda m: F.transform(
-                    places(m),
-                    lambda x: F.struct(
-                        F.lit(span), x["m"], x["i"], F.slice(w, x["i"] + 1, span + width - 1), n
-                    ),
-                ).cast(KIND),
-            ),
-        )
-        parts = [
-            F.array(F.struct(F.lit(0), F.xxhash64(*keys), F.lit(-1), F.array().cast("array<string>"), n)).cast(KIND),
-            kept,
-        ]
-        for size in short:
-            here = F.transform(
-                F.sequence(F.lit(1), n - (size - 1)),
-                lambda i, size=size: F.struct(
-                    F.lit(size), _gram_hash(size, w, i, size), i - 1, F.slice(w, i, size), n
-                ),
-            ).cast(KIND)
-            parts.append(F.when(n >= size, here).otherwise(F.array().cast(KIND)))
-        return F.concat(*parts)
+        base = F.array(record(0, F.xxhash64(*keys), F.lit(-1), F.array().cast("array<string>"), n))
+        return F.concat(base, spans(w, n), *(whole(w, n, size) for size in short))
 
     return let(ws, lambda w: let(F.size(w), lambda n: all_records(w, n)))
 

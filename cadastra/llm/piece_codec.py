@@ -40,7 +40,7 @@ class _Memo(dict):
         self.make = make
 
     def __missing__(self, word: str) -> str:
-        ids = ",".join(map(str, self.make(SPACE + word)))
+        ids = self.make(word)
         if len(word) <= UNIT:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -91,9 +91,11 @@ class Codec:
             self.shorter[p] = next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.reached), None)
         self.find = ahocorasick.Automaton()
         for p in self.reached:
-            self.find.add_word(p, p)
+            self.find.add_word(p, (len(p) - 1, p))
         self.find.make_automaton()
-        self.known = _Memo(self._unit)
+        self.known = _Memo(self._word)
+        self.letters = {p for p in self.id if len(p) == 1 and p != SPACE}
+        self.id_text = {p: str(i) for p, i in self.id.items()}
         # pieces by their id as text; bytes beyond ASCII need their neighbours and are left out
         self.shown = {str(i): p.replace(SPACE, " ") for p, i in self.id.items()}
         self.shown |= {str(i): chr(b) for b, i in self.byte.items() if b < 128}
@@ -146,11 +148,10 @@ class Codec:
 
     def _search(self, text: str) -> list[str]:
         """Pieces of a text all of whose characters are pieces."""
-        longest: dict[int, str] = {}
-        for end, p in self.find.iter(text):
-            at = end - len(p) + 1
-            if len(p) > len(longest.get(at, "")):
-                longest[at] = p
+        if text in self.shorter:
+            return [text]
+        # matches come by their ends, so the last one from a place is the longest
+        longest = {end - before: p for end, (before, p) in self.find.iter(text)}
         size, out, at = len(text), [], 0
         failed = bytearray(size // 8 + 1)
         fits, shorter = self.fits, self.shorter
@@ -173,6 +174,13 @@ class Codec:
                 p = out.pop()
                 at -= len(p)
 
+    def _word(self, word: str) -> str:
+        """Ids of one space and the word behind it, as text."""
+        unit = SPACE + word
+        if word and self.letters.issuperset(word):
+            return ",".join(map(self.id_text.__getitem__, self._search(unit)))
+        return ",".join(map(str, self._unit(unit)))
+
     def _unit(self, unit: str) -> list[int]:
         """Ids of a run of U+2581 and the characters behind it."""
         word = unit.lstrip(SPACE)

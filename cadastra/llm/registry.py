@@ -6,6 +6,11 @@ import importlib
 
 MODULES = [
     "decontaminate",
+    "simhash",
+    "quality",
+    "toxicity",
+    "piece_codec",
+    "sharding",
 ]
 
 QUERIES: dict = {}

@@ -7,10 +7,14 @@ import importlib
 MODULES = [
     "decontaminate",
     "simhash",
+    "line_dedup",
+    "url_filter",
     "quality",
     "toxicity",
     "piece_codec",
     "sharding",
+    "license_scan",
+    "media_avi",
 ]
 
 QUERIES: dict = {}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cadastra.llm.common import let, pick, table, words
 
 SPAN = 13
-GRAM = 8
+GRAM = 6
 #: Up to this many benchmark windows the benchmark side is broadcast (about 100 bytes
 #: each); beyond it both joins shuffle and adaptive execution splits hot hashes.
 BROADCAST_WINDOWS = 200_000

@@ -15,6 +15,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -276,24 +277,28 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def _coded(path: str, texts: bool):
+#: Rows encoded at a time, for bounded memory.
+SLICE = 256
+
+
+def _coded(path: str, ids_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
-            ids = [c.encode_text(t or "") for t in b.column("text").to_pylist()]
-            back = [c.decode_text(x) for x in ids]
-            cols = {
-                "doc_id": b.column("doc_id"),
-                "n_tokens": pa.array([x.count(",") + 1 if x else 0 for x in ids], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids], pa.string()),
-                "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()),
-            }
-            if texts:
-                cols |= {
-                    "ids": pa.array([[int(i) for i in x.split(",")] if x else [] for x in ids], pa.list_(pa.int32())),
-                    "decoded": pa.array(back, pa.string()),
+        for whole in batches:
+            for at in range(0, len(whole), SLICE):
+                b = whole.slice(at, SLICE)
+                ids = [c.encode_text(t or "") for t in b.column("text").to_pylist()]
+                back = [hashlib.sha256(c.decode_text(x).encode()).hexdigest() for x in ids]
+                cols = {
+                    "doc_id": b.column("doc_id"),
+                    "n_tokens": pa.array([x.count(",") + 1 if x else 0 for x in ids], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids], pa.string()),
+                    "decoded_sha256": pa.array(back, pa.string()),
                 }
-            yield pa.record_batch(list(cols.values()), list(cols))
+                if ids_too:
+                    lists = [np.fromstring(x, np.int32, sep=",") if x else np.empty(0, np.int32) for x in ids]
+                    cols["ids"] = pa.array(lists, pa.list_(pa.int32()))
+                yield pa.record_batch(list(cols.values()), list(cols))
 
     return run
 
@@ -301,15 +306,15 @@ def _coded(path: str, texts: bool):
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_decode(docs: DataFrame, path: str, outputs: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
     """Token count and digests of every text of ``docs`` (doc_id, text), encoded and decoded
-    again; with ``outputs`` also ids (array of int) and decoded (string).
+    again; with ``ids`` also the ids themselves (array of int).
 
     A null text is an empty one, with no ids. Every row gives a row, repeated ones too;
-    doc_id is passed on as it is. Other columns are ignored.
+    doc_id is passed on as it is. Other columns are ignored; an empty table gives an empty result.
     """
-    schema = DIGESTS + (", ids array<int>, decoded string" if outputs else "")
-    return pick(docs, "doc_id", "text").mapInArrow(_coded(path, outputs), schema)
+    schema = DIGESTS + (", ids array<int>" if ids else "")
+    return pick(docs, "doc_id", "text").mapInArrow(_coded(path, ids), schema)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,14 @@ def forget(df: DataFrame) -> None:
     p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def each(texts: pa.Array, rows: int = 256) -> Iterator[bytes]:
+    """A column's texts as UTF-8 bytes, null as empty, a few rows of Python objects at a time."""
+    texts = texts.cast(pa.binary())
+    for at in range(0, len(texts), rows):
+        for t in texts.slice(at, rows).to_pylist():
+            yield t or b""
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of a caller can't clash with ours."""
     missing = [n for n in names if n not in df.columns]

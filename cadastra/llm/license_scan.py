@@ -16,7 +16,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cadastra.llm.common import WORD_BYTES, pick, table
+from cadastra.llm.common import each, pick, table
 
 #: Phrases of the base scan, whose words must stand consecutively, and their labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -174,7 +174,7 @@ SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_label
 def _scans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("priority", pa.int32())]))
     for b in batches:
-        got = [scan(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()]
+        got = [scan(t) for t in each(b.column("text"))]
         cols = {
             "doc_id": b.column("doc_id"),
             "n_words": pa.array([g["n_words"] for g in got], pa.int64()),

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import pick
+from cadastra.llm.common import each, pick
 
 DIMENSIONS = 1 << 18
 _MASK = np.uint64(DIMENSIONS - 1)
@@ -107,7 +108,7 @@ def score(model: np.ndarray, features: np.ndarray) -> float:
 
 
 #: At most about this many labelled rows are learned from, chosen by a hash of doc_id.
-SAMPLE = 16_000
+SAMPLE = 8_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -115,7 +116,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, train: Callable[[list[bytes], list[int]], np.ndarray], sample: int = SAMPLE) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, label: str, train: Callable[[Iterable[bytes], list[int]], np.ndarray], sample: int = SAMPLE) -> np.ndarray:
     """The model that ``train`` makes of the labelled texts in one task, on a bounded sample of
     the rows that aren't held out. Rows without doc_id or label are left out; of several labels
     of a document the larger counts; a table without labels gives a model of zeros."""
@@ -128,8 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Callable[[list[by
     rows = rows.select(F.lit(0).alias("one"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("o"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), "y")
 
     def learn(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("o", "ascending"), ("text", "ascending")])
-        model = train(group.column("text").to_pylist(), group.column("y").to_pylist())
+        # texts are taken one by one in order, so that there is one copy of them
+        order = pc.sort_indices(group.select(["o", "text"]), [("o", "ascending"), ("text", "ascending")])
+        texts, labels = group.column("text"), group.column("y")
+        model = train((texts[i.as_py()].as_py() for i in order), [labels[i.as_py()].as_py() for i in order])
         return pa.table({"model": pa.array([model.astype("<f4").tobytes()], pa.binary())})
 
     got = rows.groupBy("one").applyInArrow(learn, "model binary").collect()
@@ -144,6 +147,6 @@ def scorer(model: np.ndarray, make: Callable[[], Features]):
     def scores(texts: pa.Array) -> pa.Array:
         if not made:
             made.append(make())
-        return pa.array([score(model, made[0](t or b"")) for t in texts.to_pylist()], pa.float64())
+        return pa.array([score(model, made[0](t)) for t in each(texts)], pa.float64())
 
     return lambda text: scores(F.coalesce(text, F.lit("")).cast("binary"))

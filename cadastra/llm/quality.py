@@ -6,6 +6,8 @@ are single tokens, pairs, and marks of the whole text (length, repetition, capit
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +40,7 @@ def features() -> Features:
     return Features(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]+", False, marks=marks)
 
 
-def train(texts: list[bytes], labels: list[int]) -> np.ndarray:
+def train(texts: Iterable[bytes], labels: list[int]) -> np.ndarray:
     make, model = features(), Ftrl(alpha=0.5, l1=3.0, l2=0.1)
     rows = [distinct(make(t)).astype(np.int32) for t in texts]
     for _ in range(EPOCHS):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import cut, forget, pick, table
+from cadastra.llm.common import cut, each, forget, pick, table
 
 BITS = 64
 SHINGLE = 3
@@ -59,8 +59,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            fps = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, shingle) for t in each(b.column("text"))], np.uint64).view(np.int64)
             yield pa.record_batch([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return run

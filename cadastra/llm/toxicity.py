@@ -9,6 +9,7 @@ carry weight by itself.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -66,12 +67,12 @@ def features() -> Features:
     return Features(rb"[a-z\x80-\xff]+", True, prefixes=(4, 5, 6))
 
 
-def train(texts: list[bytes], labels: list[int]) -> np.ndarray:
+def train(texts: Iterable[bytes], labels: list[int]) -> np.ndarray:
     make, model = features(), Ftrl(alpha=1.0, l1=8.0, l2=0.1)
-    rows = [distinct(make(t)).astype(np.int32) for t in texts]
-    others = [[distinct(make(c)).astype(np.int32) for c in counterfactuals(t)] for t in texts]
+    of = lambda t: distinct(make(t)).astype(np.int32)
+    rows = [(of(t), [of(c) for c in counterfactuals(t)]) for t in texts]
     for _ in range(EPOCHS):
-        for x, cs, y in zip(rows, others, labels, strict=True):
+        for (x, cs), y in zip(rows, labels, strict=True):
             model.learn(x, int(y), TOXIC_WEIGHT if y else 1.0)
             for c in cs:
                 model.learn(c, int(y), (TOXIC_WEIGHT if y else 1.0) / 2)

@@ -128,7 +128,7 @@ def q_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = serving.holds("red%", ["p_name", "p_type"]) | serving.holds("BRASS", ["p_name", "p_type"])
+    hit = serving.holds("1%", ["p_name", "p_type"]) | serving.holds("ST", ["p_name", "p_type"])
     return serving.limited(load(spark, sf_dir, "part").where(hit), ["p_partkey"], 50).select("p_partkey", "p_name", "p_type")
 
 
@@ -270,7 +270,7 @@ SELECT node_id AS node, CAST(coalesce(depth, 0) AS INTEGER) AS depth, coalesce(p
 r AS (SELECT name, arg_max(admin_code, (CASE WHEN ends_with(full_path, name) THEN 400 ELSE 300 END + length(full_path), admin_code)) AS code FROM w JOIN nodes ON contains(full_path, name) WHERE name NOT IN (SELECT name FROM e) GROUP BY 1) SELECT * FROM e UNION ALL SELECT * FROM r""",
     "connected_components": "WITH g AS (SELECT md5(text) AS h, min(doc_id) AS component, count(*) AS n FROM documents GROUP BY 1) SELECT doc_id AS node, component FROM documents JOIN g ON md5(text) = h WHERE n > 1",
     "table_overview": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")),
-    "keyword_filter": "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'red%') OR contains(lower(p_type), 'red%') OR contains(lower(p_name), 'brass') OR contains(lower(p_type), 'brass') ORDER BY p_partkey LIMIT 50",
+    "keyword_filter": "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), '1%') OR contains(lower(p_type), '1%') OR contains(lower(p_name), 'st') OR contains(lower(p_type), 'st') ORDER BY p_partkey LIMIT 50",
     "top_k": "SELECT l_partkey, count(*) AS count FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "graph_overview": f"""WITH {_AREAS}, c AS (SELECT n_name AS admin_name, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
 SELECT node_id, admin_code, admin_name, admin_level, object_node_id AS parent_id, coalesce(k, 0) AS relation_count FROM nodes JOIN aff ON subject_node_id = node_id LEFT JOIN c USING (admin_name) WHERE admin_level IN ('province', 'prefecture')""",

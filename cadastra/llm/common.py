@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import string
 import tempfile
 import uuid
@@ -79,6 +82,14 @@ def each(texts: pa.Array, rows: int = 256) -> Iterator[bytes]:
             yield t or b""
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker, which lives on for other tasks, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of a caller can't clash with ours."""
     missing = [n for n in names if n not in df.columns]

@@ -12,12 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import each, pick
+from cadastra.llm.common import each, give_back, pick
 
 DIMENSIONS = 1 << 18
 _MASK = np.uint64(DIMENSIONS - 1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 class Features:
@@ -133,7 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Callable[[Iterabl
         order = pc.sort_indices(group.select(["o", "text"]), [("o", "ascending"), ("text", "ascending")])
         texts, labels = group.column("text"), group.column("y")
         model = train((texts[i.as_py()].as_py() for i in order), [labels[i.as_py()].as_py() for i in order])
-        return pa.table({"model": pa.array([model.astype("<f4").tobytes()], pa.binary())})
+        out = pa.table({"model": pa.array([model.astype("<f4").tobytes()], pa.binary())})
+        give_back()
+        return out
 
     got = rows.groupBy("one").applyInArrow(learn, "model binary").collect()
     return np.frombuffer(got[0][0], "<f4") if got else np.zeros(DIMENSIONS + 1, np.float32)

@@ -24,7 +24,7 @@ from cadastra.llm.common import pick, table
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Units up to this length are remembered, this many in one worker.
-UNIT, REMEMBERED = 32, 400_000
+UNIT, REMEMBERED = 32, 200_000
 
 
 def model_path(name: str = MODEL) -> str:
@@ -142,7 +142,7 @@ class Codec:
                 break
             else:
                 before, b = rank[b] + 1, self.halves[b][0]
-        if len(self.fits) >= 500_000:
+        if len(self.fits) >= 250_000:
             self.fits.clear()
         self.fits[key] = ok
         return ok

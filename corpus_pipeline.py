@@ -18,9 +18,6 @@ from cadastra.llm.piece_codec import encode_decode, model_path
 from cadastra.llm.quality import with_quality
 from cadastra.llm.simhash import simhash_components
 
-#: Bits by which fingerprints of near copies may differ in this pipeline.
-NEAR_BITS = 4
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject: a score of 0.5 or more."""
@@ -35,9 +32,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id; of rows that share
-    that doc_id the one with the smallest text. Rows without a doc_id pass."""
+    that doc_id the one with the smallest text. Rows without a doc_id pass. Near copies are what
+    op2's contract calls linked: three-word shingles, at most two differing bits."""
     docs = pick(docs, *DOCUMENT_COLUMNS)
-    groups = simhash_components(docs, distance=NEAR_BITS)
+    groups = simhash_components(docs)
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(stay, "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy("text")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from cadastra.functions.text import canonical, clean_cell, code_level, join_distinct
@@ -118,7 +119,8 @@ def build_records(sents: DataFrame, triples: DataFrame) -> DataFrame:
     texts = texts.withColumns(
         {"record_text": F.array_join(F.transform("_s", lambda s: clean_cell(s["sentence"])), ""), "sentence_ids": join_distinct(F.col("_s.sentence_id")), "first_line": F.get("_s", F.lit(0))["line_no"]}
     ).drop("_s")
-    schema = texts.schema.add("said", "array<array<string>>").add("more", "array<array<string>>")
+    lists = T.ArrayType(T.ArrayType(T.StringType()))
+    schema = T.StructType([*texts.schema.fields, T.StructField("said", lists), T.StructField("more", lists)])
     texts = texts.mapInPandas(_texts, schema)
     kind, subject, object_ = F.col("relation_type_id"), _admin("subject_text"), _admin("object_text")
     side = lambda x, kinds: F.when(kind.isin(kinds), x)

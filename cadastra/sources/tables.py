@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +18,9 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def schema(**fields: str) -> T.StructType:
+def schema(**fields: str) -> str:
     """Explicit schema from names and type names; nothing is inferred, so codes keep their zeros."""
-    return T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in fields.items()))
+    return ", ".join(f"`{k}` {v}" for k, v in fields.items())
 
 
 SOURCE_LINES = schema(source_file="string", year="int", line_no="int", raw_line="string")
@@ -30,7 +30,7 @@ MACRO = schema(year="int", gdp_current_lcu="double", population_total="double",
 RULE_LABELS = schema(record_id="string", year="int", item_no="string", record_text="string", relation_type_ids="string")
 
 
-def read_csv(spark: SparkSession, path: str, fields: T.StructType | None = None, required: list[str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, fields: str | None = None, required: list[str] | None = None) -> DataFrame:
     """CSV with a header, with an explicit schema or all strings; a byte order mark is dropped."""
     if fields is None:
         df = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
@@ -40,7 +40,7 @@ def read_csv(spark: SparkSession, path: str, fields: T.StructType | None = None,
     return require_columns(df, required or [])
 
 
-def read_optional(spark: SparkSession, path: str, fields: T.StructType) -> DataFrame:
+def read_optional(spark: SparkSession, path: str, fields: str) -> DataFrame:
     """``read_csv`` where the path exists, else an empty table."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
@@ -60,7 +60,7 @@ def read_notices(spark: SparkSession, folder: str, limit_files: int = 0) -> Data
     return lines.select("source_file", year.alias("year"), (F.col("i") + 1).alias("line_no"), "raw_line")
 
 
-def read_yearly_csv(spark: SparkSession, glob: str, fields: T.StructType) -> DataFrame:
+def read_yearly_csv(spark: SparkSession, glob: str, fields: str) -> DataFrame:
     """CSV files whose names end in _YYYY.csv, with that year as a column."""
     df = spark.read.schema(fields).option("header", True).csv(glob)
     return df.withColumn("year", F.regexp_extract(F.col("_metadata.file_name"), r"_(\d{4})", 1).cast("int"))
@@ -123,7 +123,5 @@ def admin_units(levels: list[tuple[str, DataFrame]]) -> DataFrame:
 
 def unique_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in a total order, where ``dropDuplicates`` would take any."""
-    from pyspark.sql.window import Window
-
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_k", first).where("_k = 1").drop("_k")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadastra.functions.text import split_list, stable_id
+from cadastra.operators.stages import settle
 
 NODE = ["node_id", "node_type", "name", "admin_code", "admin_level", "year", "type_label", "text", "source"]
 
@@ -105,22 +106,18 @@ def paths(edges: DataFrame, nodes: DataFrame, child: str, parent: str, node: str
 def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node reachable, by minimum labels and pointer jumping.
 
-    Lineage is cut by checkpoint() each round, in the session's checkpoint folder where one is set.
+    Lineage is cut each round by a checkpoint in the folder that executors share.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/cadastra-graph")
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    both = settle(both)
     label = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component"))
     for _ in range(rounds):
-        label = label.checkpoint()
+        label = settle(label)
         near = both.join(label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("component").alias("m"))
         nxt = label.join(near.withColumnRenamed("u", "node"), "node").select("node", F.least("component", "m").alias("component"))
         jump = label.select(F.col("node").alias("component"), F.col("component").alias("j"))
-        nxt = nxt.join(jump, "component", "left").select("node", F.least("component", F.coalesce("j", "component")).alias("component")).checkpoint()
+        nxt = settle(nxt.join(jump, "component", "left").select("node", F.least("component", F.coalesce("j", "component")).alias("component")))
         if nxt.join(label.withColumnRenamed("component", "was"), "node").where("was != component").isEmpty():
             return nxt
         label = nxt

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cadastra.operators import entities, graph, notices, records, relations
+from cadastra.operators.stages import settle
 from cadastra.sources.tables import ADMIN_CODES, SOURCE_LINES
 
 LINES = [
@@ -32,23 +33,30 @@ CODES = [
 
 def sentences(spark: SparkSession) -> DataFrame:
     rows = notices.sentences(notices.parse_lines(spark.createDataFrame(LINES, SOURCE_LINES)))
-    return notices.dense_ids(rows, ["source_file", "line_no", "sentence_no"], "sentence_id", "S%06d")
+    return settle(notices.dense_ids(rows, ["source_file", "line_no", "sentence_no"], "sentence_id", "S%06d"))
 
 
 def codes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CODES, ADMIN_CODES)
 
 
+def found(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Sentences and their entities."""
+    sents = sentences(spark)
+    return sents, settle(entities.numbered(entities.extract(sents, codes(spark))))
+
+
 def q_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.numbered(entities.extract(sentences(spark), codes(spark)))
+    return found(spark)[1]
 
 
 def q_sentence_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.sentence_entities(sentences(spark), q_entities(spark, sf_dir))
+    return entities.sentence_entities(*found(spark))
 
 
 def q_entity_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = q_entities(spark, sf_dir).join(sentences(spark), "sentence_id")
+    sents, rows = found(spark)
+    rows = rows.join(sents, "sentence_id")
     return entities.entity_frequency(rows, ["sentence_id", "start_pos"])
 
 
@@ -56,8 +64,14 @@ def q_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.method_summary(q_entities(spark, sf_dir))
 
 
+def related(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Sentences and the triples of their entities."""
+    sents, ents = found(spark)
+    return sents, settle(relations.relate(sents, ents))
+
+
 def q_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.relate(sentences(spark), q_entities(spark, sf_dir))
+    return related(spark)[1]
 
 
 def q_relation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +83,8 @@ def q_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    triples = q_triples(spark, sf_dir)
-    return records.numbered_records(records.build_records(sentences(spark), triples)), triples
+    sents, triples = related(spark)
+    return settle(records.numbered_records(records.build_records(sents, triples))), triples
 
 
 def q_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +97,8 @@ def q_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     rec, triples = folded(spark, sf_dir)
-    units = records.static_nodes(codes(spark))
-    return rec, records.dynamic_triples(rec, triples), units, records.static_affiliations(units, "2026-04-27")
+    units = settle(records.static_nodes(codes(spark)))
+    return rec, settle(records.dynamic_triples(rec, triples)), units, settle(records.static_affiliations(units, "2026-04-27"))
 
 
 def q_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

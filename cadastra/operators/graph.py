@@ -81,8 +81,9 @@ def numbered_edges(edges: DataFrame) -> DataFrame:
 def ancestors(edges: DataFrame, child: str, parent: str, depth: int = 8) -> DataFrame:
     """(node, ancestor, distance) of every node by its parent edges, up to ``depth`` steps.
 
-    One join per step, and steps end when none is left; a cycle ends at a node already on the path."""
-    step = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node != ancestor")
+    One join per step; a cycle ends at a node already on the path. The edges are settled first, as
+    every step reads them."""
+    step = settle(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node != ancestor"))
     level = step.select("node", "ancestor", F.array("node", "ancestor").alias("path"))
     out = level.select("node", "ancestor", F.lit(1).alias("distance"))
     up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))

@@ -138,7 +138,7 @@ fr0 AS (SELECT token AS verb, count(*) AS count, count(DISTINCT (doc_id, line_no
   'v' AS pos_tags, CAST(round_even(CAST(CAST((avg(is_sentence_initial)) AS VARCHAR) AS DECIMAL(30, 14)), 6) AS DOUBLE) AS initial_rate, CAST(round_even(CAST(CAST((avg(is_after_punctuation)) AS VARCHAR) AS DECIMAL(30, 14)), 6) AS DOUBLE) AS after_punctuation_rate,
   CAST(round_even(CAST(CAST((avg(near_location)) AS VARCHAR) AS DECIMAL(30, 14)), 6) AS DOUBLE) AS near_location_rate, CAST(round_even(CAST(CAST((CAST(sum(CAST(token_position_ratio AS DECIMAL(9, 6))) AS DOUBLE) / count(*)) AS VARCHAR) AS DECIMAL(30, 14)), 6) AS DOUBLE) AS avg_position_ratio FROM ctx WHERE is_verb = 1 GROUP BY token),
 fr1 AS (SELECT *, CAST(round_even(CAST(CAST((count / sum(count) OVER ()) AS VARCHAR) AS DECIMAL(30, 14)), 6) AS DOUBLE) AS frequency_ratio FROM fr0),
-freq AS (SELECT *, row_number() OVER o AS rank, CAST(sum(count) OVER (o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative_count,
+freq AS (SELECT *, CAST(row_number() OVER o AS INTEGER) AS rank, CAST(sum(count) OVER (o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative_count,
   CAST(round_even(CAST(CAST((sum(count) OVER (o ROWS UNBOUNDED PRECEDING) / sum(count) OVER ()) AS VARCHAR) AS DECIMAL(30, 14)), 6) AS DOUBLE) AS cumulative_ratio
   FROM fr1 WHERE count >= {n} WINDOW o AS (ORDER BY count DESC, verb))
 """

@@ -49,7 +49,7 @@ def read_optional(spark: SparkSession, path: str, fields: str) -> DataFrame:
 
 def read_notices(spark: SparkSession, folder: str, limit_files: int = 0) -> DataFrame:
     """source_lines of all .txt files: one task reads one file, lines are numbered from 1."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt")
     files = files.select(F.col("_metadata.file_name").alias("source_file"), "value")
     if limit_files > 0:
         first = files.select("source_file").orderBy("source_file").limit(limit_files)

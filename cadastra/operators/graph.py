@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadastra.functions.text import split_list, stable_id
+from cadastra.operators.notices import dense_ids
 from cadastra.operators.stages import settle
 
 NODE = ["node_id", "node_type", "name", "admin_code", "admin_level", "year", "type_label", "text", "source"]
@@ -70,12 +71,9 @@ def build_edges(records: DataFrame, dynamic: DataFrame, affiliations: DataFrame,
 
 
 def numbered_edges(edges: DataFrame) -> DataFrame:
-    from cadastra.operators.notices import dense_ids
-
     family = F.when(F.col("edge_type") == "STATIC_AFFILIATION", 0).when(F.col("edge_type") == "DYNAMIC_RELATION", 1).otherwise(2)
-    order = ["_f", "_h", "start_id", "end_id", "relation", "record_id", "evidence_text"]
-    df = edges.withColumn("_f", family).withColumn("_h", F.pmod(F.xxhash64("start_id"), F.lit(64)))
-    return dense_ids(df, order, "edge_id", "KG_E%08d", ["_f", "_h"]).drop("_f", "_h")
+    order = ["_f", "start_id", "end_id", "relation", "record_id", "evidence_text"]
+    return dense_ids(edges.withColumn("_f", family), order, "edge_id", "KG_E%08d").drop("_f")
 
 
 def ancestors(edges: DataFrame, child: str, parent: str, depth: int = 8) -> DataFrame:

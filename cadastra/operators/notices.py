@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadastra.functions.text import CHANGE_CUES, ITEM_HEADER, SENTENCE_ENDS, clean_line, cue_labels, split_sentences
+from cadastra.operators.stages import settle
 
 #: Lines that hold no notice.
 TITLE_MARK = "县级以上行政区划变更情况"
@@ -48,20 +49,18 @@ def sentences(parsed: DataFrame, limit: int = 0) -> DataFrame:
     return rows.orderBy("source_file", "line_no", "sentence_no").limit(limit) if limit > 0 else rows
 
 
-def dense_ids(df: DataFrame, order: list[str], name: str, template: str, keys: list[str] | None = None) -> DataFrame:
-    """Ids such as S000001 in a total order, without a one-task window over all rows.
+def dense_ids(df: DataFrame, order: list[str], name: str, template: str) -> DataFrame:
+    """Ids such as S000001 in a total order, without a task that sees all rows.
 
-    Rows are counted by ``keys`` (default: the first order column); only those counts are summed
-    up in order, and rows are numbered inside their key.
+    Rows are dealt to ranges of the order and settled, so that a range keeps its rows; the ranges'
+    counts, one row each, are summed up in order, and rows are numbered inside their range.
     """
-    keys = keys or order[:1]
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys).orderBy(*[c for c in order if c not in keys] or order)
-    numbered = df.withColumn("_k", F.row_number().over(inside)).join(starts, keys)
-    number = F.format_string(template, F.col("_start") + F.col("_k"))
-    return numbered.withColumn(name, number).drop("_k", "_start")
+    ranged = settle(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_p").orderBy(*order)
+    numbered = ranged.withColumn("_k", F.row_number().over(inside)).join(starts, "_p")
+    return numbered.withColumn(name, F.format_string(template, F.col("_start") + F.col("_k"))).drop("_p", "_k", "_start")
 
 
 def sentence_patterns(sents: DataFrame, entity_counts: DataFrame | None = None, cues: dict[str, str] = CHANGE_CUES, text: str = "sentence") -> DataFrame:

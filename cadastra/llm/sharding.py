@@ -1,10 +1,9 @@
 """Shards by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Equal texts form a group that stays in one shard, unless it is so large that it would
-spoil the balance; such a group is split into chunks by doc_id. Groups too many to pack
-one by one are first hashed into cells, whose number is fixed per shard, so what the driver
-packs is bounded whatever the table's size: cells, and the chunks of the large groups.
-Every cell then goes to the shard where the dot product of its size vector with the residual
+Equal texts form a group that stays in one shard, unless it fills over a quarter of one; such
+a group is split by doc_id. Groups too many to pack one by one are first hashed into cells,
+whose number is fixed per shard, and large groups are dealt to cells of their own, so what
+the driver packs is bounded whatever the table's size. Every cell, or the cells of a group together, then goes to the shard where the dot product of its size vector with the residual
 capacity is highest.
 """
 
@@ -19,8 +18,10 @@ from pyspark.sql.window import Window
 from cadastra.llm.common import cut, pick, table
 
 SHARDS = 24
-#: Cells per shard; also the share of a shard's capacity from which a group is split.
+#: Cells per shard; a group over a cell's share of a shard's capacity gets cells of its own.
 GRAIN = 256
+#: A group over 1 / SPLIT of a shard's capacity is packed in parts.
+SPLIT = 4
 
 
 def pack(sizes: np.ndarray, shards: int) -> np.ndarray:
@@ -84,9 +85,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN) -> DataFram
     # a group over the limit in one of three sums: at most 3 * shards * grain groups and chunks
     large = rows.groupBy("g").agg(*sums).where("rows > 1").withColumn("share", share).where("share > 1")
     large = large.select("g", F.ceil("share").cast("int").alias("chunks")).collect()
-    base, first = shards * grain, {}
+    base, first, item_of = shards * grain, {}, {}
     for r in sorted(large):
         first[r["g"]] = base
+        for j in range(r["chunks"]):  # a group's cells are one item, or as few as may be
+            item_of[base + j] = base + j - j % max(1, grain // SPLIT)
         base += r["chunks"]
     chunked = spark.createDataFrame(
         [(r["g"], first[r["g"]], r["chunks"]) for r in large],
@@ -97,9 +100,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN) -> DataFram
     ).otherwise(F.pmod("g", F.lit(shards * grain)))
     rows = rows.join(F.broadcast(chunked), "g", "left").withColumn("cell", cell.cast("int")).drop("first", "chunks")
     cells = sorted(rows.groupBy("cell").agg(*sums).collect())
-    placed = pack(np.array([[r[k] for k in kinds] for r in cells], float).reshape(-1, 3), shards)
+    items: dict[int, np.ndarray] = {}
+    for r in cells:
+        item = item_of.get(r["cell"], r["cell"])
+        items[item] = items.get(item, np.zeros(3)) + [r[k] for k in kinds]
+    placed = dict(zip(items, pack(np.array(list(items.values())).reshape(-1, 3), shards).tolist(), strict=True))
     taken, plan = [0] * shards, []
-    for r, s in zip(cells, placed.tolist(), strict=True):
+    for r in cells:
+        s = placed[item_of.get(r["cell"], r["cell"])]
         plan.append((r["cell"], s, taken[s]))
         taken[s] += r["rows"]
     plan = spark.createDataFrame(

@@ -49,6 +49,17 @@ def capped(records: DataFrame, labels: str, per_class: int, order: list[str]) ->
     return records.join(keep, order, "left_semi")
 
 
+def sentence_samples(triples: DataFrame, records: DataFrame, train: DataFrame, order: list[str]) -> DataFrame:
+    """More training rows: each sentence of a training record with the labels of its own triples.
+
+    triples: record_key, sentence_id, sentence, relation_type_id; records: record_key, record_id; train: record_id.
+    Sentences of records that aren't trained on give none, so nothing of the test side leaks."""
+    own = records.select("record_key", "record_id").join(train.select("record_id"), "record_id", "left_semi")
+    rows = triples.where(F.col("relation_type_id").isin(order)).groupBy("record_key", "sentence_id").agg(F.min("sentence").alias("record_text"), F.collect_set("relation_type_id").alias("_t"))
+    known = F.filter(F.array(*map(F.lit, order)), lambda t: F.array_contains("_t", t))
+    return rows.join(own, "record_key").select(F.concat_ws("::", "record_id", "sentence_id").alias("record_id"), "record_key", "record_text", known.alias("label_set"))
+
+
 def hash_split(records: DataFrame, key: str, share: float = 0.2) -> DataFrame:
     """With is_test by a hash of the key: the same whatever the order or number of rows. A random split
     by a library's generator can't be had in parallel; this is its stand-in."""

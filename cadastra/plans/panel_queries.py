@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.operators import forecast, panels
+from cadastra.operators import atlas, forecast, panels
 from cadastra.plans.sql import half_even
 from cadastra.sources.tables import load
 
@@ -134,6 +134,10 @@ def q_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.census_curve(spark)
 
 
+def q_national(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return atlas.national_series(spark)
+
+
 def q_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir).withColumns({"source_quantity": F.when(F.col("year") % 2 == 0, "ledger"), "line_count": F.col("line_count") - 5})
     return panels.validate_panel(p, METRICS, ["unit_id", "year", *METRICS])
@@ -225,6 +229,7 @@ QUERIES = {
     "trend_line": q_trend,
     "high_years": q_high_years,
     "census_curve": q_census,
+    "national_series": q_national,
     "exogenous_features": q_features,
     "series_forecast": q_forecast,
     "panel_forecast": q_panel_forecast,

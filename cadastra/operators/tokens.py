@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,28 +26,33 @@ def tag_tokens(
     token_position_ratio (6 places), is_sentence_initial, is_after_punctuation, near_location.
     """
     pairs = F.transform(tokens, lambda t: F.struct(t.alias("t"), tag(t).alias("p")))
-    df = sents.withColumn("_pairs", F.explode(F.array(pairs)))
-    df = df.select("*", F.posexplode("_pairs").alias("_i", "_now"))
-    at = lambda k, field: F.coalesce(F.get("_pairs", F.col("_i") + k).getField(field), F.lit(""))
-    pos = F.col("_now.p")
-    window = F.slice("_pairs", F.greatest(F.col("_i") - near, F.lit(0)) + 1, F.least(F.col("_i"), F.lit(near)) + near + 1)
-    return df.withColumns(
-        {
-            "token_index": F.col("_i") + 1,
-            "token": F.col("_now.t"),
-            "pos": pos,
-            "is_verb": pos.startswith("v").cast("int"),
-            "is_location": pos.isin(location_tags).cast("int"),
-            "token_position_ratio": F.bround((F.col("_i") + 1) / F.size("_pairs"), 6),
-            "prev_token": at(-1, "t"),
-            "prev_pos": at(-1, "p"),
-            "next_token": at(1, "t"),
-            "next_pos": at(1, "p"),
-            "is_sentence_initial": (F.col("_i") == 0).cast("int"),
-            "is_after_punctuation": (at(-1, "p") == PUNCTUATION_TAG).cast("int"),
-            "near_location": F.exists(window, lambda x: x["p"].isin(location_tags)).cast("int"),
-        }
-    ).drop("_pairs", "_i", "_now")
+
+    def context(all_: Column) -> Column:
+        def one(now: Column, i: Column) -> Column:
+            at = lambda k, field: F.coalesce(F.get(all_, i + k).getField(field), F.lit(""))
+            # single looks to both sides: a slice would copy a long sentence for every token
+            beside = [at(k, "p").isin(location_tags) for k in range(-near, near + 1)]
+            columns = {
+                "token_index": i + 1,
+                "token": now["t"],
+                "pos": now["p"],
+                "is_verb": now["p"].startswith("v").cast("int"),
+                "is_location": now["p"].isin(location_tags).cast("int"),
+                "token_position_ratio": F.bround((i + 1) / F.size(all_), 6),
+                "prev_token": at(-1, "t"),
+                "prev_pos": at(-1, "p"),
+                "next_token": at(1, "t"),
+                "next_pos": at(1, "p"),
+                "is_sentence_initial": (i == 0).cast("int"),
+                "is_after_punctuation": (at(-1, "p") == PUNCTUATION_TAG).cast("int"),
+                "near_location": reduce(Column.__or__, beside).cast("int"),
+            }
+            return F.struct(*(c.alias(k) for k, c in columns.items()))
+
+        return F.transform(all_, one)
+
+    # the array is made once per row and not carried along with every token
+    return sents.select("*", F.inline(F.element_at(F.transform(F.array(pairs), lambda p: context(p)), 1)))
 
 
 def token_offsets(sentence: Column, tokens: Column) -> Column:

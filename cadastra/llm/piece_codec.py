@@ -24,7 +24,7 @@ from cadastra.llm.common import pick, table
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Units up to this length are remembered, this many in one worker.
-UNIT, REMEMBERED = 32, 200_000
+UNIT, REMEMBERED = 32, 300_000
 
 
 def model_path(name: str = MODEL) -> str:

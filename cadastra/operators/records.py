@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cadastra.functions.text import canonical, clean_cell, code_level, join_distinct
+from cadastra.functions.text import admin_code, canonical, clean_cell, code_level, join_distinct
+from cadastra.operators.notices import dense_ids
 from cadastra.operators.relations import FALLBACK, NAMES, ORDER, is_publication_notice
 
 # Actions and predicates by relation type, and how texts name units.
@@ -164,8 +165,6 @@ def build_records(sents: DataFrame, triples: DataFrame) -> DataFrame:
 
 
 def numbered_records(records: DataFrame) -> DataFrame:
-    from cadastra.operators.notices import dense_ids
-
     return dense_ids(records, ["source_file", "first_line", "record_key"], "record_id", "CR%06d")
 
 
@@ -216,8 +215,6 @@ def dynamic_triples(records: DataFrame, triples: DataFrame) -> DataFrame:
 
 def static_nodes(areas: DataFrame, townships: DataFrame | None = None) -> DataFrame:
     """The country and every unit of the code tables (code, name: comma path) as nodes."""
-    from cadastra.functions.text import admin_code
-
     def of(df: DataFrame, width: int, source: str, level: Column | None) -> DataFrame:
         parts = F.filter(F.transform(F.split("name", ","), lambda p: F.trim(p)), lambda p: (p != "") & (p != "中国"))
         df = df.select(admin_code(F.col("code"), width).alias("admin_code"), parts.alias("p")).where("admin_code != '' and size(p) > 0")

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
+def _local_dir() -> str:
+    where = tempfile.mkdtemp(prefix="cadastra-")
+    atexit.register(shutil.rmtree, where, ignore_errors=True)
+    return f"file://{where}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` from the session's checkpoint folder (``spark.checkpoint.dir``), which executors share;
     only where none is set, as in local runs, in a temporary folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/cadastra-stages")
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or _local_dir())
     return df.checkpoint()

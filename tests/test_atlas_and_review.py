@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from cadastra.operators import atlas, labels, relations, serving
 from cadastra.plans import notice_queries as q

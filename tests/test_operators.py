@@ -1,6 +1,5 @@
 """Operators without an SQL twin: brute force, invariants, round trips."""
 
-import math
 import os
 import shutil
 import subprocess

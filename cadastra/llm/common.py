@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import shutil
 import string
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Runs of digits, lower-case a-z and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: What lies between words.
+#: What lies between words, which are runs of digits, lower-case a-z and everything beyond ASCII.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The words again for Python's ``re`` on UTF-8 bytes.
-WORD_BYTES = rb"[0-9a-z\x80-\xff]+"
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -45,6 +44,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+@lru_cache(1)
+def _local_dir() -> str:
+    where = tempfile.mkdtemp(prefix="cadastra-")
+    atexit.register(shutil.rmtree, where, ignore_errors=True)
+    return f"file://{where}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; only where
     that is unset (tests, local mode) a temporary folder of this machine."""
@@ -53,7 +59,7 @@ def shared_dir(spark: SparkSession) -> str:
     if where:
         return where.rstrip("/")
     if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        return f"file://{tempfile.gettempdir()}/cadastra-checkpoints"
+        return _local_dir()
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 

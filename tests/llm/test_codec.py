@@ -3,7 +3,6 @@ import random
 
 import pytest
 import sentencepiece
-from pyspark.sql import functions as F
 
 from cadastra.llm.piece_codec import Codec, encode_decode, model_path
 

@@ -3,7 +3,6 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from cadastra.llm.simhash import allocate, components, expected_candidates, fingerprint, link, partitions, simhash_components
 

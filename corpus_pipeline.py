@@ -14,9 +14,9 @@ from pyspark.sql.window import Window
 from cadastra.llm.common import DOCUMENT_COLUMNS, cut, pick, table
 from cadastra.llm.decontaminate import decontaminate
 from cadastra.llm.line_dedup import line_dedup
+from cadastra.llm.near_copies import near_components
 from cadastra.llm.piece_codec import encode_decode, model_path
 from cadastra.llm.quality import with_quality
-from cadastra.llm.simhash import simhash_components
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +32,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id; of rows that share
-    that doc_id the one with the smallest text. Rows without a doc_id pass. Near copies are what
-    op2's contract calls linked: three-word shingles, at most two differing bits."""
+    that doc_id the one with the smallest text. Rows without a doc_id pass. Near copies are linked by
+    every pair whose five-word shingles have a Jaccard similarity of 0.8 or more."""
     docs = pick(docs, *DOCUMENT_COLUMNS)
-    groups = simhash_components(docs)
+    groups = near_components(docs)
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(stay, "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy("text")

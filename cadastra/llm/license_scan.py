@@ -90,11 +90,11 @@ SINGLE = [
     ("public-domain", r"(?:released|dedicated|placed) (?:in)?to the public domain", "public domain", 85),
     ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy", "permission is hereby", 98),
     ("isc", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", "permission to use", 97),
-    ("bsd-3", r"neither the name of .{1,80}? nor the names of its contributors", "neither the name", 97),
+    ("bsd-3", r"neither the name of (?s:.){1,80}? nor the names of its contributors", "neither the name", 97),
     ("bsd-2", r"redistribution and use in source and binary forms", "redistribution", 70),
     ("zlib", r"this software is provided 'as-is', without any express or implied warranty", "as-is", 90),
 ]
-GATE = re.compile(r"licen[cs]|under|copyright|\(c\)|©|creative commons|\bcc|reserved|permission|redistribution|public domain|may not be|proprietary|neither the name|as-is|covered|governed|subject to|accordance")
+GATE = re.compile(r"licen[cs]|under|copyright|\(c\)|©|creative\s+commons|\bcc|reserved|permission|redistribution|public\s+domain|may\s+not\s+be|proprietary|neither\s+the\s+name|as-is|covered|governed|subject\s+to|accordance")
 
 
 class Rule(NamedTuple):
@@ -104,13 +104,21 @@ class Rule(NamedTuple):
     find: re.Pattern
 
 
+def _widened(m: re.Match) -> str:
+    """A blank of a pattern, or a character class of it, with any white space for the blank."""
+    if m[0] == "[- ]":
+        return r"(?:-\s*|\s+)"
+    return r"\s+" if m[0] == " " else m[0].replace(" ", r"\s")
+
+
 @lru_cache(1)
 def rules() -> list[Rule]:
     """All rules by priority: every family in every frame, the Creative Commons terms, the single ones."""
 
     def rule(label: str, priority: int, words: tuple[str, ...], pattern: str) -> Rule:
-        spaced = re.sub(r"(?<!\[)(?<!\[-)(?<!\[,) (?![^\[]*\])", r"\\s+", pattern)
-        return Rule(label, priority, tuple(w for w in words if len(w) > 1), re.compile(rf"(?<!\w){spaced}(?!\w)"))
+        spaced = re.sub(r"\[[^\]]*\]| ", _widened, pattern)
+        single = dict.fromkeys(w for phrase in words for w in phrase.split())
+        return Rule(label, priority, tuple(w for w in single if len(w) > 1), re.compile(rf"(?<!\w){spaced}(?!\w)"))
 
     out = [rule(label, p, (word, key), frame.format(name)) for label, name, key in FAMILIES for frame, word, p in FRAMES]
     for label, long, short in CC_TERMS:
@@ -127,9 +135,10 @@ class Found(NamedTuple):
     priority: int
 
 
-def detect(text: str) -> list[Found]:
-    """Detections in a lower-cased text that no other one suppresses, by place."""
-    if not GATE.search(text):
+def detect(text: str, prefilter: bool = True) -> list[Found]:
+    """Detections in a lower-cased text that no other one suppresses, by place. The prefilter
+    only saves time."""
+    if prefilter and not GATE.search(text):
         return []
     there: dict[str, bool] = {}
     found: list[Found] = []
@@ -137,7 +146,7 @@ def detect(text: str) -> list[Found]:
         for w in r.keywords:
             if w not in there:
                 there[w] = w in text
-        if all(there[w] for w in r.keywords):
+        if not prefilter or all(there[w] for w in r.keywords):
             found += [Found(m.start(), m.end(), r.label, r.priority) for m in r.find.finditer(text)]
     found = sorted(set(found), key=lambda f: (-f.priority, f.start - f.end, f.start, f.label))
     kept: list[Found] = []

@@ -57,3 +57,20 @@ def test_rows(docs):
     assert sorted((r.doc_id, r.n_base, r.first_word, r.base_labels, r.labels) for r in got if r.doc_id == 1) == [(1, 1, 1, "mit", "mit")] * 2
     assert next((r.n_words, r.first_word, r.labels, r.score) for r in got if r.doc_id == 2) == (0, None, "", 0.0)
     assert scan_licenses(docs([])).count() == 0
+
+
+WRAPPED = [
+    "all rights reserved", "licensed under the gnu free documentation license", "released into the public domain", "licensed under the european union public licence, version 1.2",
+    "permission is hereby granted, free of charge, to any person obtaining a copy", "licensed under the business source license 1.1", "licensed under the gnu general public license, version 3",
+    "neither the name of the owner nor the names of its contributors", "may not be copied", "licensed under creative commons attribution noncommercial 3.0", "under the three clause bsd license",
+    "available under the open data commons open database license v 1.0", "subject to the terms of the sil open font license 1.1", "covered by the terms of the apache license version 2.0",
+]
+
+
+@pytest.mark.parametrize("text", WRAPPED)
+@pytest.mark.parametrize("gap", ["\n", "  ", "\n    ", "\t"])
+def test_wrapped_texts_are_detected_alike(text, gap):
+    wrapped = text.replace(" ", gap)
+    found = detect(wrapped)
+    assert [f.label for f in found] == [f.label for f in detect(text)] != []
+    assert found == detect(wrapped, prefilter=False) and found[-1].end == len(wrapped)

@@ -22,6 +22,11 @@ CHANGE_CUES = {
 LIST_SEPARATOR = " / "
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body has it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clean_line(x: Column) -> Column:
     """Trimmed, with runs of white space as one blank; Unicode spaces count."""
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))

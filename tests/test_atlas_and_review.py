@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from cadastra.operators import atlas, labels, relations, serving
 from cadastra.plans import notice_queries as q
@@ -64,13 +65,14 @@ def test_overview_and_evidence(spark):
     ("text", "unit"),
     [("撤销昌平县", "昌平县"), ("原昌平县的行政区域", "昌平县"), ("行政区划调整", ""), ("无新区划（撤销）", "无新区划（撤销）"), ("某事", ""), ("区人民政府驻城区镇", "城区镇"), (None, "")],
 )
-def test_plain_ends(text, unit):
-    assert serving.unit_end(text) == unit
+def test_plain_ends(spark, text, unit):
+    assert spark.range(1).select(serving.unit_end(F.lit(text).cast("string"))).first()[0] == unit
 
 
 def test_full_names_come_from_the_evidence(spark):
-    assert serving.full_name("平县", "撤销昌平县，设立昌平区") == "昌平县"
-    assert serving.full_name("级北屯市", "") == "北屯市"
+    of = lambda name, evidence: spark.range(1).select(serving.full_name(F.lit(name), F.lit(evidence))).first()[0]
+    assert of("平县", "撤销昌平县，设立昌平区") == "昌平县"
+    assert of("级北屯市", "") == "北屯市"
     df = spark.createDataFrame([("撤销昌平县", "昌平区", "撤销昌平县，设立昌平区"), ("某事", "昌平区", "")], "subject string, object string, evidence_text string")
     assert [(r.subject, r.object) for r in serving.with_plain_ends(df).collect()] == [("昌平县", "昌平区")]
 

@@ -49,18 +49,29 @@ def sentences(parsed: DataFrame, limit: int = 0) -> DataFrame:
     return rows.orderBy("source_file", "line_no", "sentence_no").limit(limit) if limit > 0 else rows
 
 
-def dense_ids(df: DataFrame, order: list[str], name: str, template: str) -> DataFrame:
-    """Ids such as S000001 in a total order, without a task that sees all rows.
+def running(df: DataFrame, order: list, value: str | None, rank: str, total: str = "") -> DataFrame:
+    """Rank in a total order (long, from 1) and the running sum of ``value``, without a task that sees all rows.
 
     Rows are dealt to ranges of the order and settled, so that a range keeps its rows; the ranges'
-    counts, one row each, are summed up in order, and rows are numbered inside their range.
+    counts and sums, one row each, are summed up in order, and rows are numbered inside their range.
     """
     ranged = settle(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    sums = ranged.groupBy("_p").agg(F.count("*").alias("_n"), *([F.sum(value).alias("_t")] if value else []))
+    starts = sums.select("_p", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_start") for c in sums.columns[1:]))
     inside = Window.partitionBy("_p").orderBy(*order)
-    numbered = ranged.withColumn("_k", F.row_number().over(inside)).join(starts, "_p")
-    return numbered.withColumn(name, F.format_string(template, F.col("_start") + F.col("_k"))).drop("_p", "_k", "_start")
+    out = ranged.withColumn("_k", F.row_number().over(inside))
+    if value:
+        out = out.withColumn("_s", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.join(F.broadcast(starts), "_p").withColumn(rank, F.col("_n_start") + F.col("_k"))  # a row per range
+    if value:
+        out = out.withColumn(total, F.col("_t_start") + F.col("_s"))
+    return out.drop("_p", "_k", "_s", "_n_start", "_t_start")
+
+
+def dense_ids(df: DataFrame, order: list[str], name: str, template: str) -> DataFrame:
+    """Ids such as S000001 in a total order."""
+    return running(df, order, None, "_r").withColumn(name, F.format_string(template, "_r")).drop("_r")
 
 
 def sentence_patterns(sents: DataFrame, entity_counts: DataFrame | None = None, cues: dict[str, str] = CHANGE_CUES, text: str = "sentence") -> DataFrame:

@@ -3,56 +3,94 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cadastra.functions.text import let
+from cadastra.operators.notices import running
+from cadastra.operators.stages import settle
+
 #: Tags of locations; a verb's tag starts with v; w marks punctuation.
 LOCATION_TAGS = ["LOC", "ns", "s"]
+VERB_MARK = "v"
 PUNCTUATION_TAG = "w"
 NEAR = 3
 
 
-def tag_tokens(
-    sents: DataFrame, tokens: Column, tag: Callable[[Column], Column], near: int = NEAR, location_tags: list[str] = LOCATION_TAGS
-) -> DataFrame:
-    """One row per token of every row of ``sents``.
+#: What can be asked of a token, in order.
+CONTEXT = [
+    "token_index", "token", "pos", "is_verb", "is_location", "token_position_ratio", "prev_token", "prev_pos", "next_token", "next_pos",
+    "is_sentence_initial", "is_after_punctuation", "near_location",
+]
+
+
+def tag_sentences(sents: DataFrame, tokens: Column, tag: Callable[[Column], Column]) -> DataFrame:
+    """``sents``, a row per sentence, with the arrays ``tokens`` and ``tags``.
 
-    ``tokens`` is an array expression, ``tag`` maps a token to its tag. Neighbours, ratios and the
-    window of ``near`` tokens to both sides are taken inside the row's own array, so there is no
-    shuffle: prev_token, prev_pos, next_token, next_pos ('' at the ends), is_verb, is_location,
-    token_position_ratio (6 places), is_sentence_initial, is_after_punctuation, near_location.
+    ``tokens`` is an array expression, ``tag`` maps a token to its tag. What is asked of single tokens
+    or of sentences is taken from these arrays, so none of it shuffles.
     """
-    pairs = F.transform(tokens, lambda t: F.struct(t.alias("t"), tag(t).alias("p")))
-
-    def context(all_: Column) -> Column:
-        def one(now: Column, i: Column) -> Column:
-            at = lambda k, field: F.coalesce(F.get(all_, i + k).getField(field), F.lit(""))
-            # single looks to both sides: a slice would copy a long sentence for every token
-            beside = [at(k, "p").isin(location_tags) for k in range(-near, near + 1)]
-            columns = {
-                "token_index": i + 1,
-                "token": now["t"],
-                "pos": now["p"],
-                "is_verb": now["p"].startswith("v").cast("int"),
-                "is_location": now["p"].isin(location_tags).cast("int"),
-                "token_position_ratio": F.bround((i + 1) / F.size(all_), 6),
-                "prev_token": at(-1, "t"),
-                "prev_pos": at(-1, "p"),
-                "next_token": at(1, "t"),
-                "next_pos": at(1, "p"),
-                "is_sentence_initial": (i == 0).cast("int"),
-                "is_after_punctuation": (at(-1, "p") == PUNCTUATION_TAG).cast("int"),
-                "near_location": reduce(Column.__or__, beside).cast("int"),
-            }
-            return F.struct(*(c.alias(k) for k, c in columns.items()))
-
-        return F.transform(all_, one)
-
-    # the array is made once per row and not carried along with every token
-    return sents.select("*", F.inline(F.element_at(F.transform(F.array(pairs), lambda p: context(p)), 1)))
+    return sents.withColumn("tokens", tokens).withColumn("tags", F.transform("tokens", tag))
+
+
+def _neighbours_any(flags: Column, near: int) -> Column:
+    """For each place of an array of 0 and 1 whether there is a 1 up to ``near`` places away, by
+    maxima over spans that double."""
+    edge = F.array_repeat(F.lit(0), near)
+
+    def with_later(step: int):
+        later = lambda x: F.slice(x, F.lit(step + 1), F.greatest(F.size(x) - step, F.lit(0)))
+        return lambda x: F.zip_with(x, later(x), lambda u, v: F.greatest(u, F.coalesce(v, F.lit(0))))
+
+    def over(a: Column) -> Column:
+        have, width = 1, 2 * near + 1
+        while have < width:
+            step = min(have, width - have)
+            a = let(a, with_later(step))
+            have += step
+        return a
+
+    return F.slice(over(F.concat(edge, flags, edge)), 1, F.size(flags))
+
+
+def _context_arrays(tagged: DataFrame, fields: list[str], near: int, location_tags: list[str], keep: list[str]) -> DataFrame:
+    """``keep`` and an array for each of the fields, of sentences that have tokens."""
+    n = F.size("tags")
+    places = F.sequence(F.lit(1), n)
+    before = lambda a: F.concat(F.array(F.lit("")), F.slice(a, F.lit(1), n - 1))
+    after = lambda a: F.concat(F.slice(a, F.lit(2), n), F.array(F.lit("")))
+    is_tag = lambda test: F.transform("tags", lambda x: test(x).cast("int"))
+    made = {
+        "token_index": lambda: places,
+        "token": lambda: F.col("tokens"),
+        "pos": lambda: F.col("tags"),
+        "is_verb": lambda: is_tag(lambda x: x.startswith(VERB_MARK)),
+        "is_location": lambda: is_tag(lambda x: x.isin(location_tags)),
+        "token_position_ratio": lambda: F.transform(places, lambda i: F.bround(i / n, 6)),
+        "prev_token": lambda: before("tokens"),
+        "prev_pos": lambda: before("tags"),
+        "next_token": lambda: after("tokens"),
+        "next_pos": lambda: after("tags"),
+        "is_sentence_initial": lambda: F.transform(places, lambda i: (i == 1).cast("int")),
+        "is_after_punctuation": lambda: F.transform(before("tags"), lambda x: (x == PUNCTUATION_TAG).cast("int")),
+        "near_location": lambda: _neighbours_any(is_tag(lambda x: x.isin(location_tags)), near),
+    }
+    return tagged.where(n > 0).select(*keep, *(made[f]().alias(f) for f in fields))
+
+
+def token_context(
+    tagged: DataFrame, fields: list[str] = CONTEXT, near: int = NEAR, location_tags: list[str] = LOCATION_TAGS, keep: list[str] | None = None
+) -> DataFrame:
+    """One row per token of ``tag_sentences`` with the columns of the sentence that ``keep`` names (all
+    but the arrays, if none are named) and the fields that are asked for: prev_token, prev_pos,
+    next_token, next_pos ('' at the ends), is_verb, is_location, token_position_ratio (6 places),
+    is_sentence_initial, is_after_punctuation, near_location (a location up to ``near`` tokens
+    away, or itself). Only these are made, each as an array of the sentence's own."""
+    keep = [c for c in tagged.columns if c not in ("tokens", "tags")] if keep is None else keep
+    rows = _context_arrays(tagged, fields, near, location_tags, keep)
+    return rows.select(*keep, F.inline(F.arrays_zip(*(F.col(f) for f in fields))))
 
 
 def token_offsets(sentence: Column, tokens: Column) -> Column:
@@ -68,88 +106,129 @@ def token_offsets(sentence: Column, tokens: Column) -> Column:
     return F.aggregate(tokens, start, step, lambda acc: acc["at"])
 
 
-def sentence_stats(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Per sentence: token, verb and location counts, verbs in order, and tags as ``tag:count``
-    joined by ``;`` in tag order. A histogram is folded from per-tag counts, not from rows."""
-    per_tag = tokens.groupBy(*keys, "pos").agg(
-        F.count("*").alias("n"),
-        F.sum("is_verb").alias("verbs"),
-        F.sum("is_location").alias("locations"),
-        F.array_sort(F.collect_list(F.when(F.col("is_verb") == 1, F.struct("token_index", "token")))).alias("_v"),
-    )
-    return per_tag.groupBy(*keys).agg(
-        F.sum("n").alias("token_count"),
-        F.sum("verbs").alias("verb_count"),
-        F.sum("locations").alias("location_count"),
-        F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("_v"))), lambda x: x["token"]), " / ").alias("verbs"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda x: F.concat(x["pos"], F.lit(":"), x["n"].cast("string"))), ";"
-        ).alias("pos_counts"),
+def sentence_stats(tagged: DataFrame, keys: list[str]) -> DataFrame:
+    """Per sentence with tokens: token, verb and location counts, verbs in order, and tags as
+    ``tag:count`` joined by ``;`` in tag order, all from the sentence's own arrays."""
+    pairs = F.filter(F.arrays_zip("tokens", "tags"), lambda x: x["tags"].startswith(VERB_MARK))
+    kinds = F.array_sort(F.array_distinct("tags"))
+    count = lambda test: F.size(F.filter("tags", test)).cast("long")
+    return tagged.where(F.size("tags") > 0).select(
+        *keys,
+        F.size("tags").cast("long").alias("token_count"),
+        count(lambda x: x.startswith(VERB_MARK)).alias("verb_count"),
+        count(lambda x: x.isin(LOCATION_TAGS)).alias("location_count"),
+        F.array_join(F.transform(pairs, lambda x: x["tokens"]), " / ").alias("verbs"),
+        F.array_join(F.transform(kinds, lambda k: F.concat(k, F.lit(":"), F.size(F.filter("tags", lambda x: x == k)).cast("string"))), ";").alias("pos_counts"),
     )
 
 
-def verb_frequency(tokens: DataFrame, sentence_keys: list[str], year: str = "year", min_count: int = 1) -> DataFrame:
-    """Per verb: count, share of all verb tokens (before ``min_count``), sentences, first and last
-    year, tags, mean rates, and rank and cumulative share by falling count."""
-    verbs = tokens.where("is_verb = 1")
-    freq = verbs.groupBy(F.col("token").alias("verb")).agg(
-        F.count("*").alias("count"),
-        F.countDistinct(*sentence_keys).alias("sentence_count"),
+VERB_FIELDS = ["token", "pos", "token_position_ratio", "prev_token", "prev_pos", "next_token", "next_pos", "is_sentence_initial", "is_after_punctuation", "near_location"]
+#: Kinds of rows of ``verb_rows``: a verb's place; a verb of a sentence, once; a frame of a sentence, once.
+PLACE, VERB, FRAME = 0, 1, 2
+
+
+def verb_rows(tagged: DataFrame, keep: list[str], near: int = NEAR, location_tags: list[str] = LOCATION_TAGS) -> DataFrame:
+    """``keep``, kind, verb, frame (``prevtag:prev <- verb -> nexttag:next``), pos and the rates' fields of
+    every verb, and of each sentence its verbs and frames once more, so that sentences are counted
+    without a distinct count."""
+    of = lambda x, *names: [x[k] for k in names]
+
+    def frame(x: Column) -> Column:
+        token, pt, pp, nt, np_ = of(x, "token", "prev_token", "prev_pos", "next_token", "next_pos")
+        return F.concat(pp, F.lit(":"), pt, F.lit(" <- "), token, F.lit(" -> "), np_, F.lit(":"), nt)
+
+    rates = {"token_position_ratio": "double", "is_sentence_initial": "int", "is_after_punctuation": "int", "near_location": "int"}
+
+    def row(kind: int, verb: Column, frame_: Column | None, pos: Column | None, x: Column | None) -> Column:
+        none = F.lit(None).cast("string")
+        own = [(x[k] if x is not None else F.lit(None)).cast(t).alias(k) for k, t in rates.items()]
+        return F.struct(F.lit(kind).alias("kind"), verb.alias("verb"), (none if frame_ is None else frame_).alias("frame"), (none if pos is None else pos).alias("pos"), *own)
+
+    rows = _context_arrays(tagged, VERB_FIELDS, near, location_tags, keep)
+    rows = rows.select(*keep, F.filter(F.arrays_zip(*VERB_FIELDS), lambda x: x["pos"].startswith(VERB_MARK)).alias("_z")).where(F.size("_z") > 0)
+    places = F.transform("_z", lambda x: row(PLACE, x["token"], frame(x), x["pos"], x))
+    verbs = F.transform(F.array_distinct(F.transform("_z", lambda x: x["token"])), lambda v: row(VERB, v, None, None, None))
+    frames = F.array_distinct(F.transform("_z", lambda x: F.struct(x["token"].alias("v"), frame(x).alias("f"))))
+    frames = F.transform(frames, lambda x: row(FRAME, x["v"], x["f"], None, None))
+    return rows.select(*keep, F.inline(F.concat(places, verbs, frames)))
+
+
+def _mean(x: Column | str) -> Column:
+    return F.bround(F.avg(x), 6)
+
+
+def _with_total(df: DataFrame, value: str, name: str, how=F.sum) -> DataFrame:
+    """With one figure of the whole table, which every row gets from a table of one row."""
+    total = df.agg(how(value).alias(name)).withColumn("_one", F.lit(1))
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
+
+
+def verb_frequency(rows: DataFrame, year: str = "year", min_count: int = 1) -> DataFrame:
+    """Per verb of ``verb_rows``: count, share of all verb tokens (before ``min_count``), sentences, first and
+    last year, tags, mean rates, and rank and cumulative share by falling count."""
+    at, in_sentence = F.col("kind") == PLACE, F.col("kind") == VERB
+    freq = rows.where(at | in_sentence).groupBy("verb").agg(
+        F.count_if(at).alias("count"),
+        F.count_if(in_sentence).alias("sentence_count"),
         F.min(year).alias("first_year"),
         F.max(year).alias("last_year"),
         F.array_join(F.array_sort(F.collect_set("pos")), "/").alias("pos_tags"),
-        F.bround(F.avg("is_sentence_initial"), 6).alias("initial_rate"),
-        F.bround(F.avg("is_after_punctuation"), 6).alias("after_punctuation_rate"),
-        F.bround(F.avg("near_location"), 6).alias("near_location_rate"),
+        _mean("is_sentence_initial").alias("initial_rate"),
+        _mean("is_after_punctuation").alias("after_punctuation_rate"),
+        _mean("near_location").alias("near_location_rate"),
         # a decimal mean: the sum doesn't depend on the order of the rows
-        F.bround(F.avg(F.col("token_position_ratio").cast("decimal(9,6)")), 6).cast("double").alias("avg_position_ratio"),
+        _mean(F.col("token_position_ratio").cast("decimal(9,6)")).cast("double").alias("avg_position_ratio"),
     )
-    whole = Window.partitionBy(F.lit(1))
-    ranked = Window.partitionBy(F.lit(1)).orderBy(F.desc("count"), "verb")
-    freq = freq.withColumn("frequency_ratio", F.bround(F.col("count") / F.sum("count").over(whole), 6)).where(F.col("count") >= min_count)
-    freq = freq.withColumn("rank", F.row_number().over(ranked))
-    freq = freq.withColumn("cumulative_count", F.sum("count").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
-    return freq.withColumn("cumulative_ratio", F.bround(F.col("cumulative_count") / F.sum("count").over(whole), 6))
-
-
-def context_frames(tokens: DataFrame, sentence_keys: list[str], year: str = "year", min_count: int = 1) -> DataFrame:
-    """Counts of ``prevtag:prev <- verb -> nexttag:next`` frames."""
-    frame = F.concat("prev_pos", F.lit(":"), "prev_token", F.lit(" <- "), "token", F.lit(" -> "), "next_pos", F.lit(":"), "next_token")
-    out = tokens.where("is_verb = 1").groupBy(F.col("token").alias("verb"), frame.alias("frame")).agg(
-        F.count("*").alias("count"),
-        F.countDistinct(*sentence_keys).alias("sentence_count"),
+    freq = _with_total(settle(freq), "count", "_all").withColumn("frequency_ratio", F.bround(F.col("count") / F.col("_all"), 6)).where(F.col("count") >= min_count)
+    freq = running(freq, [F.desc("count"), F.asc("verb")], "count", "rank", "cumulative_count").withColumn("rank", F.col("rank").cast("int"))
+    return _with_total(freq.drop("_all"), "count", "_all").withColumn("cumulative_ratio", F.bround(F.col("cumulative_count") / F.col("_all"), 6)).drop("_all")
+
+
+def context_frames(rows: DataFrame, year: str = "year", min_count: int = 1) -> DataFrame:
+    """Counts of the frames of ``verb_rows``."""
+    at, in_sentence = F.col("kind") == PLACE, F.col("kind") == FRAME
+    out = rows.where(at | in_sentence).groupBy("verb", "frame").agg(
+        F.count_if(at).alias("count"),
+        F.count_if(in_sentence).alias("sentence_count"),
         F.min(year).alias("first_year"),
         F.max(year).alias("last_year"),
-        F.bround(F.avg("near_location"), 6).alias("near_location_rate"),
+        _mean("near_location").alias("near_location_rate"),
     )
     return out.where(F.col("count") >= min_count)
 
 
-def verb_cooccurrence(tokens: DataFrame, sentence_keys: list[str], sentence: str, min_count: int = 1) -> DataFrame:
+def verb_cooccurrence(tagged: DataFrame, sentence_keys: list[str], sentence: str, min_count: int = 1) -> DataFrame:
     """Unordered pairs of different verbs of a sentence: summed counts, sentences, first example.
 
-    Pairs come from each sentence's own distinct verbs, so their number is bounded by it.
+    Pairs come from each sentence's own distinct verbs, so their number is bounded by it. Sentences
+    themselves are joined to the few examples at the end.
     """
-    per = tokens.where("is_verb = 1").groupBy(*sentence_keys, F.col("token").alias("verb")).agg(
-        F.count("*").alias("tf"), F.first(sentence).alias("_s")
+    verbs = F.array_sort(F.transform(F.filter(F.arrays_zip("tokens", "tags"), lambda x: x["tags"].startswith(VERB_MARK)), lambda x: x["tokens"]))
+    per = tagged.select(*sentence_keys, verbs.alias("_w")).where(F.size(F.array_distinct("_w")) > 1)
+    # the verbs in order, each with its number: the distance of its first place from the next verb's
+    per = per.withColumn("_d", F.array_distinct("_w"))
+    firsts = F.concat(F.transform("_d", lambda v: F.array_position("_w", v)), F.array(F.size("_w").cast("long") + 1))
+    per = per.withColumn("_at", firsts).select(
+        *sentence_keys, F.transform("_d", lambda v, i: F.struct(v.alias("verb"), (F.get("_at", i + 1) - F.get("_at", i)).alias("tf"))).alias("_v")
     )
-    per = per.groupBy(*sentence_keys).agg(F.array_sort(F.collect_list(F.struct("verb", "tf"))).alias("_v"), F.first("_s").alias("_s"))
     pairs = F.flatten(
         F.transform(
             "_v",
             lambda a, i: F.transform(
-                F.filter("_v", lambda b: b["verb"] > a["verb"]),
+                F.slice("_v", i + 2, F.size("_v")),
                 lambda b: F.struct(a["verb"].alias("verb_a"), b["verb"].alias("verb_b"), (a["tf"] + b["tf"]).alias("score")),
             ),
         )
     )
-    rows = per.where(F.size("_v") > 1).select(*sentence_keys, "_s", F.inline(pairs))
+    rows = per.select(F.struct(*sentence_keys).alias("_k"), F.inline(pairs))
     out = rows.groupBy("verb_a", "verb_b").agg(
         F.sum("score").alias("cooccurrence_score"),
         F.count("*").alias("sentence_count"),
-        F.min_by("_s", F.struct(*sentence_keys)).alias("example_sentence"),
+        F.min("_k").alias("_k"),
     )
-    return out.where(F.col("sentence_count") >= min_count)
+    out = out.where(F.col("sentence_count") >= min_count).select("*", *(F.col(f"_k.{k}").alias(k) for k in sentence_keys)).drop("_k")
+    texts = tagged.select(*sentence_keys, F.col(sentence).alias("example_sentence"))
+    return out.join(texts, sentence_keys).drop(*sentence_keys)
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
@@ -157,19 +236,19 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int)
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
 
 
-def examples(tokens: DataFrame, sentence_keys: list[str], sentence: str, n: int) -> DataFrame:
-    """(token, example_sentences): the first ``n`` different sentences with the token, joined by ||."""
-    once = tokens.groupBy("token", *sentence_keys).agg(F.first(sentence).alias("_s"))
-    first = top_per_group(once, ["token"], [F.col(k) for k in sentence_keys], n)
+def examples(rows: DataFrame, sents: DataFrame, sentence_keys: list[str], sentence: str, n: int) -> DataFrame:
+    """(verb, example_sentences): the first ``n`` sentences with each verb of ``verb_rows``, joined by ||."""
+    first = top_per_group(rows.where(F.col("kind") == VERB).select("verb", *sentence_keys), ["verb"], [F.col(k) for k in sentence_keys], n)
+    first = first.join(sents.select(*sentence_keys, F.col(sentence).alias("_s")), sentence_keys)
     ordered = F.array_sort(F.collect_list(F.struct(*sentence_keys, "_s")))
-    return first.groupBy("token").agg(F.array_join(F.transform(ordered, lambda x: x["_s"]), " || ").alias("example_sentences"))
+    return first.groupBy("verb").agg(F.array_join(F.transform(ordered, lambda x: x["_s"]), " || ").alias("example_sentences"))
 
 
 def relation_candidates(freq: DataFrame, frames: DataFrame, shown: DataFrame, n_frames: int = 5) -> DataFrame:
     """Verbs scored as relation words: log frequency times weighted context rates (6 places), with
     their most frequent frames and example sentences."""
-    most = F.max("count").over(Window.partitionBy(F.lit(1)))
-    frequency = F.log1p("count") / F.log1p(F.greatest(most, F.lit(1)))
+    freq = _with_total(freq, "count", "_most", F.max)
+    frequency = F.log1p("count") / F.log1p(F.greatest("_most", F.lit(1)))
     context = (
         0.45 * F.col("near_location_rate") + 0.25 * F.col("after_punctuation_rate") + 0.20 * F.col("initial_rate") + 0.10 * (1 - F.col("avg_position_ratio"))
     )
@@ -180,7 +259,7 @@ def relation_candidates(freq: DataFrame, frames: DataFrame, shown: DataFrame, n_
         )
     )
     scored = freq.withColumn("relation_score", F.bround(frequency * context, 6))
-    joined = scored.join(best, "verb", "left").join(shown.withColumnRenamed("token", "verb"), "verb", "left")
+    joined = scored.join(best, "verb", "left").join(shown, "verb", "left")
     return joined.select(
         F.col("verb").alias("candidate_relation"),
         "relation_score",
@@ -197,13 +276,21 @@ def relation_candidates(freq: DataFrame, frames: DataFrame, shown: DataFrame, n_
     )
 
 
-def token_overview(tokens: DataFrame, sentence_keys: list[str], source: str = "source_file") -> DataFrame:
-    verb = F.col("is_verb") == 1
-    return tokens.agg(
-        F.countDistinct(source).alias("source_count"),
-        F.countDistinct(*sentence_keys).alias("sentence_count"),
-        F.count("*").alias("token_count"),
-        F.coalesce(F.sum("is_verb"), F.lit(0)).alias("verb_count"),
-        F.countDistinct(F.when(verb, F.col("token"))).alias("distinct_verb_count"),
-        F.coalesce(F.sum("is_location"), F.lit(0)).alias("location_count"),
+def token_overview(tagged: DataFrame, source: str = "source_file") -> DataFrame:
+    """Sources, sentences, tokens, verbs, different verbs and locations of ``tag_sentences`` in a row."""
+    count = lambda test: F.size(F.filter("tags", test)).cast("long")
+    words = F.array_distinct(F.transform(F.filter(F.arrays_zip("tokens", "tags"), lambda x: x["tags"].startswith(VERB_MARK)), lambda x: x["tokens"]))
+    per = tagged.where(F.size("tags") > 0).select(
+        F.col(source).alias("_s"), F.size("tags").cast("long").alias("n"), count(lambda x: x.startswith(VERB_MARK)).alias("v"), count(lambda x: x.isin(LOCATION_TAGS)).alias("l"), words.alias("w")
+    )
+    per = settle(per)
+    totals = per.agg(
+        F.countDistinct("_s").alias("source_count"),
+        F.count("*").alias("sentence_count"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("token_count"),
+        F.coalesce(F.sum("v"), F.lit(0)).alias("verb_count"),
+        F.coalesce(F.sum("l"), F.lit(0)).alias("location_count"),
+        F.lit(1).alias("_one"),
     )
+    verbs = per.select(F.explode("w").alias("w")).agg(F.countDistinct("w").alias("distinct_verb_count"), F.lit(1).alias("_one"))
+    return totals.join(verbs, "_one").drop("_one")  # a row each

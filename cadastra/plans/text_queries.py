@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadastra.functions.text import split_sentences
 from cadastra.operators import notices, tokens
+from cadastra.operators.stages import settle
 from cadastra.sources.tables import load
 
 ENDS = ".!?;"
@@ -32,8 +33,9 @@ def tag(t: Column) -> Column:
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with their tokens and tags."""
     sents = notices.sentences(parsed(spark, sf_dir)).withColumnRenamed("source_file", "doc_id")
-    return tokens.tag_tokens(sents, F.regexp_extract_all("sentence", F.lit(TOKEN), F.lit(0)), tag)
+    return tokens.tag_sentences(sents, F.regexp_extract_all("sentence", F.lit(TOKEN), F.lit(0)), tag)
 
 
 def q_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def q_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = parsed(spark, sf_dir)
+    lines = settle(parsed(spark, sf_dir).select("source_file", "year", "line_no", "item_no", "is_skipped", "sentences"))
     caps = notices.sentences(lines).where(F.col("sentence").rlike("with")).select("source_file", "line_no", "sentence_no")
     return notices.file_coverage(lines, caps)
 
@@ -67,14 +69,8 @@ def q_primary_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("primary_cue", "cue_labels").agg(F.count("*").alias("sentence_count"), F.sum("sentence_length").alias("chars"))
 
 
-CONTEXT = [
-    "token_index", "token", "pos", "is_verb", "is_location", "token_position_ratio", "prev_token", "prev_pos", "next_token", "next_pos",
-    "is_sentence_initial", "is_after_punctuation", "near_location",
-]
-
-
 def q_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tagged(spark, sf_dir).select(*KEYS, *CONTEXT)
+    return tokens.token_context(tagged(spark, sf_dir), keep=KEYS)
 
 
 def q_sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,26 +78,25 @@ def q_sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.verb_frequency(tagged(spark, sf_dir), KEYS, min_count=2)
+    return tokens.verb_frequency(tokens.verb_rows(tagged(spark, sf_dir), ["year"]), min_count=2)
 
 
 def q_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.context_frames(tagged(spark, sf_dir), KEYS)
+    return tokens.context_frames(tokens.verb_rows(tagged(spark, sf_dir), ["year"]))
 
 
 def q_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.verb_cooccurrence(tagged(spark, sf_dir), KEYS, "sentence")
+    return tokens.verb_cooccurrence(settle(tagged(spark, sf_dir).select(*KEYS, "sentence", "tokens", "tags")), KEYS, "sentence")
 
 
 def q_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tagged(spark, sf_dir)
-    freq = tokens.verb_frequency(rows, KEYS, min_count=3)
-    shown = tokens.examples(rows.where("is_verb = 1"), KEYS, "sentence", 3)
-    return tokens.relation_candidates(freq, tokens.context_frames(rows, KEYS), shown)
+    sents = settle(tagged(spark, sf_dir).select(*KEYS, "year", "sentence", "tokens", "tags"))
+    rows = settle(tokens.verb_rows(sents, [*KEYS, "year"]))
+    return tokens.relation_candidates(tokens.verb_frequency(rows, min_count=3), tokens.context_frames(rows), tokens.examples(rows, sents, KEYS, "sentence", 3))
 
 
 def q_token_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_overview(tagged(spark, sf_dir), KEYS, "doc_id")
+    return tokens.token_overview(tagged(spark, sf_dir), "doc_id")
 
 
 _CLEAN = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -175,7 +170,7 @@ FROM l LEFT JOIN e USING (source_file)""",
 SELECT source, count(*) AS sentence_count, CAST(round_even(CAST(CAST((avg(n)) AS VARCHAR) AS DECIMAL(30, 14)), 4) AS DOUBLE) AS avg_sentence_length, {', '.join(f'sum(has_{k})::BIGINT AS {k}_sentence_count' for k in CUES)} FROM f GROUP BY source""",
     "primary_cues": f"""WITH {_LINES}, f AS (SELECT length(sentence) AS n, list_filter([{', '.join(f"CASE WHEN regexp_matches(sentence, '{p}') THEN '{k}' END" for k, p in CUES.items())}], lambda x: x IS NOT NULL) AS c FROM sent)
 SELECT coalesce(c[1], 'other') AS primary_cue, array_to_string(c, '|') AS cue_labels, count(*) AS sentence_count, sum(n)::BIGINT AS chars FROM f GROUP BY 1, 2""",
-    "token_context": f"WITH {_TOKENS} SELECT doc_id, line_no, sentence_no, {', '.join(CONTEXT)} FROM ctx",
+    "token_context": f"WITH {_TOKENS} SELECT doc_id, line_no, sentence_no, {', '.join(tokens.CONTEXT)} FROM ctx",
     "sentence_stats": f"""WITH {_TOKENS}, h AS (SELECT doc_id, line_no, sentence_no, pos, count(*) AS n FROM ctx GROUP BY ALL),
 hh AS (SELECT doc_id, line_no, sentence_no, string_agg(pos || ':' || n, ';' ORDER BY pos) AS pos_counts FROM h GROUP BY 1, 2, 3)
 SELECT doc_id, line_no, sentence_no, count(*) AS token_count, sum(is_verb)::BIGINT AS verb_count, sum(is_location)::BIGINT AS location_count,

@@ -76,23 +76,25 @@ def numbered_edges(edges: DataFrame) -> DataFrame:
     return dense_ids(edges.withColumn("_f", family), order, "edge_id", "KG_E%08d").drop("_f")
 
 
-def ancestors(edges: DataFrame, child: str, parent: str, depth: int = 8) -> DataFrame:
-    """(node, ancestor, distance) of every node by its parent edges, up to ``depth`` steps.
+def ancestors(edges: DataFrame, child: str, parent: str, depth: int = 0) -> DataFrame:
+    """(node, ancestor, distance) of every node by its parent edges, up to ``depth`` steps; 0 means all.
 
-    One join per step; a cycle ends at a node already on the path. The edges are settled first, as
-    every step reads them."""
+    One join per step until no node has another ancestor; a cycle ends at a node already on the path.
+    The edges and each step's rows are settled, as the next step reads them."""
     step = settle(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node != ancestor"))
     level = step.select("node", "ancestor", F.array("node", "ancestor").alias("path"))
-    out = level.select("node", "ancestor", F.lit(1).alias("distance"))
+    parts = [level.select("node", "ancestor", F.lit(1).alias("distance"))]
     up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
-    for k in range(2, depth + 1):
+    while depth == 0 or len(parts) < depth:
         level = level.join(up, "ancestor").where(~F.array_contains("path", F.col("next")))
-        level = level.select("node", F.col("next").alias("ancestor"), F.concat("path", F.array("next")).alias("path"))
-        out = out.unionByName(level.select("node", "ancestor", F.lit(k).alias("distance")))
-    return out
+        level = settle(level.select("node", F.col("next").alias("ancestor"), F.concat("path", F.array("next")).alias("path")))
+        if level.isEmpty():
+            break
+        parts.append(level.select("node", "ancestor", F.lit(len(parts) + 1).alias("distance")))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def paths(edges: DataFrame, nodes: DataFrame, child: str, parent: str, node: str, name: str, depth: int = 8) -> DataFrame:
+def paths(edges: DataFrame, nodes: DataFrame, child: str, parent: str, node: str, name: str, depth: int = 0) -> DataFrame:
     """(node, depth, path) from the root down, names joined by /."""
     up = ancestors(edges, child, parent, depth)
     named = up.join(nodes.select(F.col(node).alias("ancestor"), F.col(name).alias("a_name")), "ancestor")
@@ -105,7 +107,8 @@ def paths(edges: DataFrame, nodes: DataFrame, child: str, parent: str, node: str
 def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node reachable, by minimum labels and pointer jumping.
 
-    Lineage is cut each round by a checkpoint in the folder that executors share.
+    Lineage is cut each round by a checkpoint in the folder that executors share. Raises RuntimeError
+    where ``rounds`` are not enough: labels move at least two steps a round, so long chains may need more.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
@@ -136,12 +139,24 @@ def resolve(nodes: DataFrame, name: str, path: str, code: str, wanted: DataFrame
     """The best node for each wanted name: its own name (shortest code first), else a path that ends
     with it, else one that holds it.
 
-    Own names meet by an equi-join; only names left over are sought inside paths."""
+    Own names meet by an equi-join. Of names left over, those with the same text at some place of a path
+    meet it by that text: a path is cut into pieces of the few lengths that these names have."""
     at = nodes.select(F.col(name).alias("_n"), F.col(path).alias("_p"), F.col(code).alias("_c"))
+    wanted = settle(wanted.select("name").distinct())
     exact = at.join(wanted.select(F.col("name").alias("_n")), "_n").groupBy("_n").agg(F.min_by("_c", F.struct(F.length("_c"), "_c")).alias("code"))
-    exact = exact.select(F.col("_n").alias("name"), "code")
-    rest = wanted.join(exact, "name", "left_anti").distinct()
-    inside = at.join(rest, F.col("_p").contains(F.col("name")))
+    exact = settle(exact.select(F.col("_n").alias("name"), "code"))
+    rest = settle(wanted.join(exact, "name", "left_anti"))
+    # as many as a path is long at most: a longer name is in no path
+    longest = at.agg(F.max(F.length("_p"))).first()[0] or 0
+    lengths = [r[0] for r in rest.select(F.length("name").alias("n")).where((F.col("n") > 0) & (F.col("n") <= longest)).distinct().orderBy("n").collect()]
+    none = F.array().cast("array<string>")
+
+    def cut(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.length("_p") - n + 1)
+        return F.when(F.length("_p") >= n, F.transform(places, lambda i: F.substr("_p", i, F.lit(n)))).otherwise(none)
+
+    pieces = F.array_distinct(F.concat(none, *map(cut, lengths)))
+    inside = at.select("_p", "_c", F.explode(pieces).alias("name")).join(rest, "name")
     score = F.when(F.col("_p").endswith(F.col("name")), 400).otherwise(300) + F.length("_p")
     loose = inside.groupBy("name").agg(F.max_by("_c", F.struct(score, "_c")).alias("code"))
     return exact.unionByName(loose)

@@ -147,8 +147,8 @@ def fit_one_vs_rest(rows: DataFrame, labels: list[str], epochs: int = 30) -> Dat
     """(label, term, weight) of one balanced logistic regression per label, intercepts as term ''.
 
     ``rows``: key, label set ``labels``, and the arrays ``terms`` and ``weights`` of TF-IDF. Each label is a
-    group of its own and its own task; a training set of notices fits one. Full-batch gradient
-    steps with the ridge penalty of C = 1.
+    group of its own and its own task, which holds all rows; ``train_and_predict`` bounds them.
+    Full-batch gradient steps with the ridge penalty of C = 1.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -185,13 +185,26 @@ def predict(weights: DataFrame, features: DataFrame, key: str, labels: list[str]
     return out.select(key, "scores", "confidence", F.when(F.size(chosen) > 0, chosen).otherwise(F.array("best")).alias("predicted"))
 
 
-def train_and_predict(records: DataFrame, key: str, text: str, labels: str, order: list[str], share: float = 0.2) -> DataFrame:
-    """Records with is_test and the predicted labels of a classifier learned from the rest."""
-    split = cover_labels(hash_split(records, key, share), labels, key)
+#: At most about this many records are learned from, chosen by a hash of their key.
+TRAIN_SAMPLE = 20_000
+
+
+def train_and_predict(
+    records: DataFrame, key: str, text: str, labels: str, order: list[str], share: float = 0.2, sample: int = TRAIN_SAMPLE, learn: DataFrame | None = None, is_test: str | None = None
+) -> DataFrame:
+    """Records with is_test and the predicted labels of a classifier learned from the rest, or from
+    ``sample`` of them where they are more; all records are predicted. A caller may name a column
+    that splits, and the keys to learn from (``learn``)."""
+    split = cover_labels(hash_split(records, key, share), labels, key) if is_test is None else records.withColumn("is_test", F.col(is_test))
     terms = tf_idf(split, key, char_ngrams(F.col(text)))
     folded = terms.groupBy(key).agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
-    train = split.where("not is_test").select(key, F.col(labels).alias("label_set")).join(folded, key)
-    weights = fit_one_vs_rest(train, order)
+    known = split.where("not is_test").select(key, F.col(labels).alias("label_set"))
+    if learn is not None:
+        known = known.join(learn.select(key), key, "left_semi")
+    n = known.count()
+    if n > sample:
+        known = known.where(F.pmod(F.xxhash64(F.lit(1), key), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    weights = fit_one_vs_rest(known.join(folded, key), order)
     return split.join(predict(weights, terms, key, order), key, "left")
 
 

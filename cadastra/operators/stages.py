@@ -17,8 +17,11 @@ def _local_dir() -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """``df`` from the session's checkpoint folder (``spark.checkpoint.dir``), which executors share;
-    only where none is set, as in local runs, in a temporary folder."""
+    only where none is set in a local run, in a temporary folder. Raises ValueError on a cluster without one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or _local_dir())
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and (not sc.master.startswith("local") or "cluster" in sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or _local_dir())
     return df.checkpoint()

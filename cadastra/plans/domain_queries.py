@@ -13,7 +13,8 @@ from cadastra.streaming import events as stream
 ORDER = ["AF", "NF", "NO", "RF", "XX"]
 CLASSES = {"AF": "closed", "RF": "closed", "NF": "mixed", "NO": "open"}
 NAMES = ["example", "example.com", "com", "net", "en/", "http", "https", "org"]
-NO_LABELS = "array<string>"
+#: The 25 labels of the classifier.
+BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
 
 
 def label_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,26 +72,24 @@ def q_tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = load(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"), F.array("p_brand").alias("brand"))
-    brands = sorted(r[0] for r in parts.select(F.get("brand", F.lit(0))).distinct().collect())
-    got = labels.train_and_predict(parts, "p_partkey", "text", "brand", brands)
+    got = labels.train_and_predict(parts, "p_partkey", "text", "brand", BRANDS)
     return got.select("p_partkey", "is_test", F.array_join("brand", "|").alias("actual"), F.array_join("predicted", "|").alias("predicted"))
 
 
-def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions, nations and suppliers as a code table of provinces, prefectures and counties."""
+def areas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Regions and nations as a code table of provinces and prefectures, suppliers as one of townships."""
     r, n, s = (load(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
     region = r.select(F.concat((F.col("r_regionkey") + 11).cast("string"), F.lit("0000")).alias("code"), F.concat_ws(",", F.lit("中国"), "r_name").alias("name"))
     nation = n.join(r, n["n_regionkey"] == r["r_regionkey"])
     prefix = F.concat((F.col("n_regionkey") + 11).cast("string"), (F.col("n_nationkey") + 10).cast("string"))
-    county = s.join(nation, s["s_nationkey"] == n["n_nationkey"]).where("s_nationkey % 2 = 0 or s_suppkey % 3 = 0")
-    county = county.select(F.concat(prefix, F.lpad((F.col("s_suppkey") % 90 + 1).cast("string"), 2, "0")).alias("code"), F.concat_ws(",", F.lit("中国"), "r_name", "n_name", "s_name").alias("name"))
-    # every fifth nation isn't in the table: its counties belong to the region
-    nation = nation.where("n_nationkey % 5 != 0").select(F.concat(prefix, F.lit("00")).alias("code"), F.concat_ws(",", F.lit("中国"), "r_name", "n_name").alias("name"))
-    return region.unionByName(nation).unionByName(county)
+    own = s.join(nation, s["s_nationkey"] == n["n_nationkey"])
+    own = own.select(F.concat(prefix, F.lpad(F.col("s_suppkey").cast("string"), 10, "0")).alias("code"), F.concat_ws(",", F.lit("中国"), "r_name", "n_name", "s_name").alias("name"))
+    nation = nation.select(F.concat(prefix, F.lit("00")).alias("code"), F.concat_ws(",", F.lit("中国"), "r_name", "n_name").alias("name"))
+    return region.unionByName(nation), own
 
 
 def q_static_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.static_nodes(areas(spark, sf_dir))
+    return records.static_nodes(*areas(spark, sf_dir))
 
 
 def q_affiliations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,12 +97,12 @@ def q_affiliations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.ancestors(q_affiliations(spark, sf_dir), "subject_node_id", "object_node_id", 5)
+    return graph.ancestors(q_affiliations(spark, sf_dir), "subject_node_id", "object_node_id")
 
 
 def q_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = q_static_nodes(spark, sf_dir)
-    return graph.paths(records.static_affiliations(nodes), nodes, "subject_node_id", "object_node_id", "node_id", "admin_name", 5)
+    return graph.paths(records.static_affiliations(nodes), nodes, "subject_node_id", "object_node_id", "node_id", "admin_name")
 
 
 def q_children(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,15 +111,20 @@ def q_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = load(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
+    """Names of nations, ends of suppliers' paths, and middles of nations' paths."""
+    r, n, s = (load(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    own = n.join(s, n["n_nationkey"] == s["s_nationkey"]).select(F.concat("n_name", F.lit("/"), "s_name").alias("name"))
+    inside = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.concat("r_name", F.lit("/"), "n_name", F.lit("/")).alias("name"))
+    wanted = n.select(F.col("n_name").alias("name")).unionByName(own).unionByName(inside)
     return graph.resolve(q_static_nodes(spark, sf_dir), "admin_name", "full_path", "admin_code", wanted)
 
 
 def q_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents with the same text, each linked to its smallest."""
     docs = load(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
-    groups = docs.groupBy("h").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
-    chain = groups.where("size(ids) > 1").select(F.inline(F.arrays_zip(F.slice("ids", 1, F.size("ids") - 1).alias("a"), F.slice("ids", 2, F.size("ids")).alias("b"))))
-    return graph.connected_components(chain.toDF("a", "b"), "a", "b")
+    least = docs.groupBy("h").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = docs.join(least, "h").where("doc_id != b").select(F.col("doc_id").alias("a"), "b")
+    return graph.connected_components(stars, "a", "b")
 
 
 def q_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,17 +204,18 @@ def _scores() -> str:
 
 
 _AREAS = """
-nr AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey),
-ar AS (SELECT CAST(r_regionkey + 11 AS VARCHAR) || '0000' AS code, [r_name] AS p FROM region UNION ALL
- SELECT CAST(n_regionkey + 11 AS VARCHAR) || CAST(n_nationkey + 10 AS VARCHAR) || '00', [r_name, n_name] FROM nr WHERE n_nationkey % 5 <> 0 UNION ALL
- SELECT CAST(n_regionkey + 11 AS VARCHAR) || CAST(n_nationkey + 10 AS VARCHAR) || lpad(CAST(s_suppkey % 90 + 1 AS VARCHAR), 2, '0'), [r_name, n_name, s_name] FROM supplier JOIN nr ON s_nationkey = n_nationkey WHERE s_nationkey % 2 = 0 OR s_suppkey % 3 = 0),
-nd0 AS (SELECT 'ADM_' || code AS node_id, code AS admin_code, p[-1] AS admin_name, CASE WHEN code LIKE '%0000' THEN 'province' WHEN code LIKE '%00' THEN 'prefecture' ELSE 'county' END AS admin_level,
- coalesce(p[1], '') AS province, coalesce(p[2], '') AS prefecture, coalesce(p[3], '') AS county, '中国/' || array_to_string(p, '/') AS full_path, '省市区' AS source_table FROM ar),
-nodes AS (SELECT * FROM nd0 QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY full_path) = 1 UNION ALL SELECT 'CN', 'CN', '中国', 'country', '', '', '', '中国', 'system'),
-aff AS (SELECT a.node_id AS subject_node_id, a.admin_code AS subject_code, a.admin_name AS subject_name, '隶属于' AS predicate, coalesce(x.node_id, y.node_id, 'CN') AS object_node_id, coalesce(x.admin_name, y.admin_name, '中国') AS object_name, a.source_table, '1' AS version_date
- FROM nodes a LEFT JOIN nodes x ON a.admin_level = 'county' AND x.admin_code = substr(a.admin_code, 1, 4) || '00' LEFT JOIN nodes y ON a.admin_level <> 'province' AND y.admin_code = substr(a.admin_code, 1, 2) || '0000' AND y.node_id <> a.node_id WHERE a.node_id <> 'CN')
+nr AS (SELECT *, CAST(n_regionkey + 11 AS VARCHAR) || CAST(n_nationkey + 10 AS VARCHAR) AS prefix FROM nation JOIN region ON n_regionkey = r_regionkey),
+ar AS (SELECT CAST(r_regionkey + 11 AS VARCHAR) || '0000' AS code, [r_name] AS p FROM region UNION ALL SELECT prefix || '00', [r_name, n_name] FROM nr UNION ALL
+ SELECT prefix || lpad(CAST(s_suppkey AS VARCHAR), 10, '0'), [r_name, n_name, s_name] FROM supplier JOIN nr ON s_nationkey = n_nationkey),
+nodes AS (SELECT 'ADM_' || code AS node_id, code AS admin_code, p[-1] AS admin_name, CASE WHEN length(code) > 6 THEN 'township' WHEN code LIKE '%0000' THEN 'province' ELSE 'prefecture' END AS admin_level,
+ coalesce(p[1], '') AS province, coalesce(p[2], '') AS prefecture, coalesce(p[3], '') AS county, '中国/' || array_to_string(p, '/') AS full_path, CASE WHEN length(code) > 6 THEN '乡镇街道' ELSE '省市区' END AS source_table FROM ar
+ UNION ALL SELECT 'CN', 'CN', '中国', 'country', '', '', '', '中国', 'system'),
+aff AS (SELECT a.node_id AS subject_node_id, a.admin_code AS subject_code, a.admin_name AS subject_name, '隶属于' AS predicate, coalesce(w.node_id, x.node_id, y.node_id, 'CN') AS object_node_id,
+ coalesce(w.admin_name, x.admin_name, y.admin_name, '中国') AS object_name, a.source_table, '1' AS version_date
+ FROM nodes a LEFT JOIN nodes w ON a.admin_level = 'township' AND w.admin_code = substr(a.admin_code, 1, 6) LEFT JOIN nodes x ON a.admin_level = 'township' AND x.admin_code = substr(a.admin_code, 1, 4) || '00'
+ LEFT JOIN nodes y ON a.admin_level <> 'province' AND y.admin_code = substr(a.admin_code, 1, 2) || '0000' WHERE a.node_id <> 'CN')
 """
-_UP = f"""WITH RECURSIVE {_AREAS}, up AS (SELECT subject_node_id AS node, object_node_id AS ancestor, 1 AS distance FROM aff UNION ALL SELECT node, object_node_id, distance + 1 FROM up JOIN aff ON ancestor = subject_node_id WHERE distance < 5)"""
+_UP = f"""WITH RECURSIVE {_AREAS}, up AS (SELECT subject_node_id AS node, object_node_id AS ancestor, 1 AS distance FROM aff UNION ALL SELECT node, object_node_id, distance + 1 FROM up JOIN aff ON ancestor = subject_node_id)"""
 _MATCHES = f"""WITH n AS (SELECT unnest({NAMES}) AS name), m AS (SELECT page_id, url, name, unnest(range(1, length(url) - length(name) + 2)) AS i FROM pages CROSS JOIN n)
 SELECT page_id, CAST(i - 1 AS INTEGER) AS start_pos, CAST(i - 1 + length(name) AS INTEGER) AS end_pos, name FROM m WHERE substr(url, i, length(name)) = name"""
 _POINTS = "p AS (SELECT c_custkey, (c_custkey * 37 % 3600) / 10.0::DOUBLE - 180 AS lon, (c_custkey * 53 % 1800) / 10.0::DOUBLE - 90 AS lat, round_even(c_acctbal, 0) AS value FROM customer)"
@@ -266,7 +271,7 @@ SELECT p_partkey, term, tf, {half_even('weight', 6)} AS weight FROM n""",
     "hierarchy_paths": f"""{_UP}, q AS (SELECT node, max(distance) AS depth, string_agg(admin_name, '/' ORDER BY distance DESC) AS p FROM up JOIN nodes ON ancestor = node_id GROUP BY 1)
 SELECT node_id AS node, CAST(coalesce(depth, 0) AS INTEGER) AS depth, coalesce(p || '/', '') || admin_name AS path FROM nodes LEFT JOIN q ON node = node_id""",
     "children": f"WITH {_AREAS} SELECT node_id, admin_name, admin_level FROM nodes JOIN aff ON subject_node_id = node_id WHERE object_node_id = 'ADM_110000'",
-    "name_resolution": f"""WITH {_AREAS}, w AS (SELECT n_name AS name FROM nation), e AS (SELECT name, arg_min(admin_code, (length(admin_code), admin_code)) AS code FROM w JOIN nodes ON admin_name = name GROUP BY 1),
+    "name_resolution": f"""WITH {_AREAS}, w AS (SELECT n_name AS name FROM nation UNION ALL SELECT n_name || '/' || s_name FROM nation JOIN supplier ON n_nationkey = s_nationkey UNION ALL SELECT r_name || '/' || n_name || '/' FROM nr), e AS (SELECT name, arg_min(admin_code, (length(admin_code), admin_code)) AS code FROM w JOIN nodes ON admin_name = name GROUP BY 1),
 r AS (SELECT name, arg_max(admin_code, (CASE WHEN ends_with(full_path, name) THEN 400 ELSE 300 END + length(full_path), admin_code)) AS code FROM w JOIN nodes ON contains(full_path, name) WHERE name NOT IN (SELECT name FROM e) GROUP BY 1) SELECT * FROM e UNION ALL SELECT * FROM r""",
     "connected_components": "WITH g AS (SELECT md5(text) AS h, min(doc_id) AS component, count(*) AS n FROM documents GROUP BY 1) SELECT doc_id AS node, component FROM documents JOIN g ON md5(text) = h WHERE n > 1",
     "table_overview": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")),

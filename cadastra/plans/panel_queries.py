@@ -13,28 +13,30 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 METRICS = ["quantity", "line_count"]
 WEIGHTS = {"quantity": 0.7, "line_count": 0.3}
 ROLES = {"population": "line_count", "nightlight": "quantity", "builtup_area": "quantity"}
-FIRST, LAST = 1991, 1999
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as records with a year and a type; every third year of the calendar is without."""
-    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("type_label"))
-    return o.where(F.col("year") % 3 != 0)
+    """Orders as records with a year and a type."""
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("type_label"))
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers by year as units, where some units miss some values and years."""
+    """Suppliers by year as units; a year without quantities, or without lines, is a gap."""
     li = load(spark, sf_dir, "lineitem")
-    p = li.groupBy(F.col("l_suppkey").cast("string").alias("unit_id"), F.year("l_shipdate").alias("year")).agg(
-        F.sum("l_quantity").alias("q"), F.count("*").cast("double").alias("line_count"), F.max("l_suppkey").alias("k")
+    return li.groupBy(F.col("l_suppkey").cast("string").alias("unit_id"), F.year("l_shipdate").alias("year")).agg(
+        F.sum("l_quantity").alias("quantity"), F.count("*").cast("double").alias("line_count"), F.concat(F.lit("unit "), F.max("l_suppkey").cast("string")).alias("unit_name")
     )
-    p = p.where((F.col("k") * 3 + F.col("year")) % 7 != 0)
-    gap = (F.col("k") + F.col("year")) % 4 == 0
-    return p.select("unit_id", "year", F.when(gap, None).otherwise(F.col("q")).alias("quantity"), "line_count", F.concat(F.lit("unit "), "unit_id").alias("unit_name"))
+
+
+def years(df: DataFrame, column: str) -> tuple[int, int]:
+    """First and last year of a date column; 2000 for an empty table."""
+    ends = df.agg(F.min(F.year(column)).alias("a"), F.max(F.year(column)).alias("b")).first()
+    return (ends["a"], ends["b"]) if ends["a"] is not None else (2000, 2000)
 
 
 def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.expand_panel(panel(spark, sf_dir), METRICS, FIRST, LAST, ["unit_name"])
+    first, last = years(load(spark, sf_dir, "lineitem"), "l_shipdate")
+    return panels.expand_panel(panel(spark, sf_dir), METRICS, first, last, ["unit_name"])
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +83,8 @@ def q_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_nowcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir).withColumn("status_line_count", F.lit("observed"))
-    return panels.carry_forward(p, ["unit_id"], [1998, 1999, 2000], "status_line_count", "nowcast").select("unit_id", "year", "line_count", "status_line_count")
+    last = years(load(spark, sf_dir, "lineitem"), "l_shipdate")[1]
+    return panels.carry_forward(p, ["unit_id"], [last, last + 1, last + 2], "status_line_count", "nowcast").select("unit_id", "year", "line_count", "status_line_count")
 
 
 def yearly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,13 +105,12 @@ def q_high_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two made-up indicators, known for some years, filled over the history and five years ahead."""
-    o = load(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year"))
+    """Two indicators by year, filled over the history and five years ahead."""
+    orders = load(spark, sf_dir, "orders")
+    o = orders.groupBy(F.year("o_orderdate").alias("year"))
     o = o.agg(F.count("*").cast("double").alias("gdp_count"), F.countDistinct("o_custkey").cast("double").alias("population_buyers"))
-    o = o.where(F.col("year") % 4 != 1)
-    ends = load(spark, sf_dir, "orders").agg(F.min(F.year("o_orderdate")).alias("a"), F.max(F.year("o_orderdate")).alias("b")).first()
-    a, b = (ends["a"], ends["b"]) if ends["a"] is not None else (2000, 2000)
-    filled = panels.fill_indicators(o, ["gdp_count", "population_buyers"], a, b + 5)
+    first, last = years(orders, "o_orderdate")
+    filled = panels.fill_indicators(o, ["gdp_count", "population_buyers"], first, last + 5)
     return panels.exogenous_features(filled, ["gdp_count", "population_buyers"])
 
 
@@ -122,12 +124,13 @@ def q_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_panel_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecast.forecast_panel(expanded(spark, sf_dir), METRICS, LAST + 1, LAST + 5)
+    last = years(load(spark, sf_dir, "lineitem"), "l_shipdate")[1]
+    return forecast.forecast_panel(expanded(spark, sf_dir), METRICS, last + 1, last + 5)
 
 
 def q_count_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = panel(spark, sf_dir).where("line_count is not null")
-    return forecast.forecast_counts(p, ["line_count"], LAST, LAST + 4)
+    last = years(load(spark, sf_dir, "lineitem"), "l_shipdate")[1]
+    return forecast.forecast_counts(panel(spark, sf_dir), ["line_count"], last + 1, last + 5)
 
 
 def q_census(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,8 +147,7 @@ def q_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PANEL = """
-p0 AS (SELECT CAST(l_suppkey AS VARCHAR) AS unit_id, CAST(year(l_shipdate) AS INTEGER) AS year, sum(l_quantity) AS q, CAST(count(*) AS DOUBLE) AS line_count, max(l_suppkey) AS k FROM lineitem GROUP BY 1, 2),
-panel AS (SELECT unit_id, year, CASE WHEN (k + year) % 4 = 0 THEN NULL ELSE q END AS quantity, line_count, 'unit ' || unit_id AS unit_name FROM p0 WHERE (k * 3 + year) % 7 <> 0)
+panel AS (SELECT CAST(l_suppkey AS VARCHAR) AS unit_id, CAST(year(l_shipdate) AS INTEGER) AS year, sum(l_quantity) AS quantity, CAST(count(*) AS DOUBLE) AS line_count, 'unit ' || max(l_suppkey) AS unit_name FROM lineitem GROUP BY 1, 2)
 """
 
 
@@ -162,9 +164,9 @@ def _value(m: str) -> str:
     return f"CASE WHEN {m} IS NOT NULL THEN {m} WHEN b_{m} IS NOT NULL AND a_{m} IS NOT NULL THEN b_{m}.v + (a_{m}.v - b_{m}.v) * (year - b_{m}.y) / (a_{m}.y - b_{m}.y) END"
 
 
-_EXPANDED = f"""{_PANEL},
+_EXPANDED = f"""{_PANEL}, ends AS (SELECT min(year) AS a, max(year) AS b FROM panel),
 u AS (SELECT unit_id, max(unit_name) AS unit_name FROM panel GROUP BY 1),
-s AS (SELECT unit_id, unit_name, CAST(unnest(range({FIRST}, {LAST + 1})) AS INTEGER) AS year FROM u),
+s AS (SELECT unit_id, unit_name, CAST(unnest(range(a, b + 1)) AS INTEGER) AS year FROM u, ends),
 j AS (SELECT s.*, quantity, line_count FROM s LEFT JOIN panel USING (unit_id, year)),
 k AS (SELECT *, {', '.join(_filled(m) for m in METRICS)} FROM j),
 f AS (SELECT unit_id, unit_name, year, {', '.join(f"{_value(m)} AS {m}, CASE WHEN {m} IS NOT NULL THEN 'observed' WHEN {_value(m)} IS NOT NULL THEN 'interpolated' END AS status_{m}, CASE WHEN {m} IS NULL AND {_value(m)} IS NOT NULL THEN 'linear_interpolation_between_observed_years' END AS source_{m}" for m in METRICS)} FROM k),
@@ -204,14 +206,36 @@ indexed AS (SELECT *, CASE WHEN line_count_yoy_pct < -0.02 AND quantity_yoy_pct
   WHEN vitality_index >= 70 AND change_intensity_index >= 50 THEN 'fast_growth' WHEN vitality_index <= 30 AND change_intensity_index >= 50 THEN 'rapid_decline_or_transition'
   WHEN change_intensity_index < 20 THEN 'stable' ELSE 'mixed' END AS change_type FROM ix)
 """
-_RECORDS = "records AS (SELECT o_orderkey AS record_id, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS type_label FROM orders WHERE year(o_orderdate) % 3 <> 0), span AS (SELECT CAST(unnest(range(min(year), max(year) + 1)) AS INTEGER) AS year FROM records)"
+_RECORDS = "records AS (SELECT o_orderkey AS record_id, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS type_label FROM orders), span AS (SELECT CAST(unnest(range(min(year), max(year) + 1)) AS INTEGER) AS year FROM records)"
 _ANNUAL = f"{_RECORDS}, annual AS (SELECT year, count(DISTINCT record_id) AS total_count, count(record_id) > 0 AS source_year_present FROM span LEFT JOIN records USING (year) GROUP BY year)"
 
 
+def _tail(c: str, low: float, high: float) -> str:
+    """Values of ``c`` by year with five more, each grown by the mean of the last five growth rates."""
+    rate = "list_transform(range(greatest(2, len(v) - 4), len(v) + 1), lambda i: CASE WHEN v[i - 1] <> 0 THEN v[i] / v[i - 1] - 1 END)"
+    mean = f"coalesce(list_sum(list_filter({rate}, lambda g: g IS NOT NULL)) / nullif(len(list_filter({rate}, lambda g: g IS NOT NULL)), 0), 0)"
+    return f"""{c}_tail AS (SELECT 0 AS k, list({c} ORDER BY year) AS v, min(year) AS y FROM yearly UNION ALL
+  SELECT k + 1, list_append(v, v[-1] * (1 + least(greatest({mean}, {low}::DOUBLE), {high}::DOUBLE))), y FROM {c}_tail WHERE k < 5)"""
+
+
 def _r(cols: list[str], places: int) -> str:
     return ", ".join(f"{half_even(c, places)} AS {c}" for c in cols)
 
 
+_GDP, _PEOPLE = panels.growth_bounds("gdp_count"), panels.growth_bounds("population_buyers")
+_FEATURES = f"""WITH RECURSIVE span AS (SELECT CAST(unnest(range(min(year(o_orderdate)), max(year(o_orderdate)) + 1)) AS INTEGER) AS year FROM orders),
+own AS (SELECT year(o_orderdate) AS year, CAST(count(*) AS DOUBLE) AS gdp_count, CAST(count(DISTINCT o_custkey) AS DOUBLE) AS population_buyers FROM orders GROUP BY 1),
+gaps AS (SELECT span.year, gdp_count, population_buyers FROM span LEFT JOIN own USING (year)),
+marked AS (SELECT *, last_value(CASE WHEN gdp_count IS NOT NULL THEN {{'y': year, 'g': gdp_count, 'p': population_buyers}} END IGNORE NULLS) OVER (ORDER BY year ROWS UNBOUNDED PRECEDING) AS b,
+  first_value(CASE WHEN gdp_count IS NOT NULL THEN {{'y': year, 'g': gdp_count, 'p': population_buyers}} END IGNORE NULLS) OVER (ORDER BY year ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM gaps),
+yearly AS (SELECT year, coalesce(gdp_count, b.g + (a.g - b.g) * (year - b.y) / (a.y - b.y)) AS gdp_count, coalesce(population_buyers, b.p + (a.p - b.p) * (year - b.y) / (a.y - b.y)) AS population_buyers FROM marked),
+{_tail("gdp_count", *_GDP)},
+{_tail("population_buyers", *_PEOPLE)},
+f AS (SELECT CAST(y + unnest(range(len(g.v))) AS INTEGER) AS year, unnest(g.v) AS gdp_count, unnest(p.v) AS population_buyers FROM gdp_count_tail g JOIN population_buyers_tail p USING (k, y) WHERE k = 5),
+x AS (SELECT f.*, CASE WHEN own.year IS NOT NULL THEN 'actual' ELSE 'estimated' END AS economic_data_status, lag(f.gdp_count) OVER o AS g0, lag(f.population_buyers) OVER o AS p0 FROM f LEFT JOIN own USING (year) WINDOW o AS (ORDER BY f.year)),
+z AS (SELECT year, economic_data_status, gdp_count, population_buyers, CASE WHEN gdp_count > 0 THEN ln(gdp_count) END AS log_gdp_count, CASE WHEN population_buyers > 0 THEN ln(population_buyers) END AS log_population_buyers,
+  coalesce((gdp_count - g0) / nullif(g0, 0) * 100, 0) AS gdp_count_growth_rate, coalesce((population_buyers - p0) / nullif(p0, 0) * 100, 0) AS population_buyers_growth_rate FROM x)
+"""
 _CHANGE_COLUMNS = [f"{m}_{k}" for m in METRICS for k in ("yoy_abs", "yoy_pct", "log_change")]
 _INDEX_COLUMNS = [f"{m}_{k}" for m in METRICS for k in ("score", "change_score")] + ["vitality_index", "change_intensity_index"]
 
@@ -236,6 +260,7 @@ QUERIES = {
     "count_forecast": q_count_forecast,
 }
 ORACLES = {
+    "exogenous_features": f"{_FEATURES} SELECT year, economic_data_status, {_r(['gdp_count', 'population_buyers', 'log_gdp_count', 'log_population_buyers', 'gdp_count_growth_rate', 'population_buyers_growth_rate'], 6)} FROM z",
     "annual_counts": f"WITH {_ANNUAL} SELECT * FROM annual",
     "annual_by_type": f"""WITH {_RECORDS} SELECT span.year, {', '.join(f"count(DISTINCT record_id) FILTER (type_label = '{p}') AS \"{p}\"" for p in PRIORITIES)} FROM span LEFT JOIN records USING (year) GROUP BY 1""",
     "annual_by_type_long": f"""WITH {_RECORDS}, t AS (SELECT unnest({PRIORITIES}) AS type_label)
@@ -247,9 +272,9 @@ SELECT span.year, t.type_label, count(DISTINCT record_id) AS type_count FROM spa
   avg(change_intensity_index) AS change_intensity_index_mean, avg(CASE WHEN row_stage = 'forecast' THEN 1.0 ELSE 0.0 END) AS forecast_share FROM indexed GROUP BY year)
 SELECT year, {_r([f'{m}_{k}' for m in METRICS for k in ('sum', 'mean')] + ['vitality_index_mean', 'change_intensity_index_mean', 'forecast_share'], 5)} FROM a""",
     "change_type_shares": f"WITH {_INDEXED}, c AS (SELECT year, change_type, count(*) AS count FROM indexed GROUP BY 1, 2), d AS (SELECT *, count / sum(count) OVER (PARTITION BY year) AS share FROM c) SELECT year, change_type, count, {_r(['share'], 6)} FROM d",
-    "panel_nowcast": f"""WITH {_PANEL}, l AS (SELECT *, max(year) OVER (PARTITION BY unit_id) AS m FROM panel)
+    "panel_nowcast": f"""WITH {_PANEL}, l AS (SELECT *, max(year) OVER (PARTITION BY unit_id) AS m, max(year) OVER () AS e FROM panel)
 SELECT unit_id, year, line_count, 'observed' AS status_line_count FROM panel UNION ALL
-SELECT unit_id, CAST(y AS INTEGER), line_count, 'nowcast' FROM l, (SELECT unnest([1998, 1999, 2000]) AS y) WHERE year = m AND y > year""",
+SELECT unit_id, CAST(y AS INTEGER), line_count, 'nowcast' FROM (SELECT *, unnest([e, e + 1, e + 2]) AS y FROM l WHERE year = m) WHERE y > year""",
     "trend_line": f"""WITH h AS (SELECT o_orderpriority AS target, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1, 2),
 f AS (SELECT target, coalesce(regr_slope(value, year), 0) AS w, avg(year) AS x, avg(value) AS y, max(year) AS e FROM h GROUP BY 1),
 g AS (SELECT *, CAST(e + unnest(range(1, 6)) AS INTEGER) AS year FROM f), v AS (SELECT target, year, greatest(y + w * (year - x), 0.0) AS forecast FROM g) SELECT target, year, {_r(['forecast'], 4)} FROM v""",

@@ -314,7 +314,7 @@ def entity_frequency(entities: DataFrame, order: list[str]) -> DataFrame:
 def method_summary(entities: DataFrame) -> DataFrame:
     rows = entities.withColumn("method", F.explode(F.split("method", r"\|")))
     return rows.groupBy("entity_type", "method").agg(
-        F.count("*").alias("entity_count"), F.countDistinct("normalized_name").alias("unique_entity_count"), F.bround(F.avg("confidence"), 4).alias("avg_confidence")
+        F.count("*").alias("entity_count"), F.countDistinct("normalized_name").alias("unique_entity_count"), F.bround(F.avg(F.col("confidence").cast("decimal(9,4)")), 4).cast("double").alias("avg_confidence")
     )
 
 

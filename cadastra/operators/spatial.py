@@ -69,6 +69,23 @@ def locate(points: DataFrame, polygons: DataFrame, keys: list[str], lon: str = "
     return held.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
 
 
+def feature_polygons(features: DataFrame, key: str = "adcode") -> DataFrame:
+    """polygon_id, ordinal, polygon of ``tables.read_features``: one row per polygon, so several of a multipolygon."""
+    one, many = "array<array<array<double>>>", "array<array<array<array<double>>>>"
+    text, single = F.col("geometry.coordinates"), F.col("geometry.type") == "Polygon"
+    parts = F.when(single, F.array(F.from_json(text, one))).otherwise(F.from_json(text, many))
+    rows = features.where(F.col("geometry.type").isin("Polygon", "MultiPolygon"))
+    return rows.select(F.col(key).cast("string").alias("polygon_id"), F.posexplode(parts).alias("ordinal", "polygon")).where("polygon is not null")
+
+
+def outline(polygons: DataFrame) -> tuple[float, float, float, float] | None:
+    """West, south, east and north of all polygons together."""
+    points = polygons.select(F.explode(F.get("polygon", F.lit(0))).alias("p"))
+    x, y = F.get("p", F.lit(0)), F.get("p", F.lit(1))
+    r = points.agg(F.min(x).alias("w"), F.min(y).alias("s"), F.max(x).alias("e"), F.max(y).alias("n")).first()
+    return None if r["w"] is None else (r["w"], r["s"], r["e"], r["n"])
+
+
 def zonal_sum(pixels: DataFrame, polygons: DataFrame, keys: list[str], value: str, **how) -> DataFrame:
     """Sum, mean and number of the pixels in each polygon."""
     inside = locate(pixels, polygons, keys, **how)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_queries", "panel_queries", "domain_queries", "notice_queries"]
+MODULES = ["text_queries", "panel_queries", "domain_queries", "serving_queries", "notice_queries"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

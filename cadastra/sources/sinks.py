@@ -8,10 +8,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BYTE_ORDER_MARK = "\ufeff"
 
-def write_csv(df: DataFrame, path: str, separator: str = " / ") -> None:
+
+def write_csv(df: DataFrame, path: str, separator: str = " / ", mark: bool = False) -> None:
     """CSV with a header; arrays become delimited strings, which CSV can hold. As many files as
-    partitions: gathering them into one is left to who reads them."""
+    partitions: gathering them into one is left to who reads them. With ``mark`` every file begins
+    with a byte order mark, in its header's first name, as spreadsheets want it."""
+    if mark and df.columns:
+        df = df.withColumnRenamed(df.columns[0], BYTE_ORDER_MARK + df.columns[0])
     flat = [F.array_join(c, separator).alias(c) if t.startswith("array<string") else F.col(c) for c, t in df.dtypes]
     df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
 
@@ -65,11 +70,19 @@ def write_json(document: object, path: str) -> None:
         json.dump(document, f, ensure_ascii=False, indent=2)
 
 
+def run_metadata(inputs: dict[str, str], frames: dict[str, DataFrame], parameters: dict[str, object]) -> dict:
+    """What a run read, with which parameters, and the rows and columns of each result."""
+    made = {r["name"]: {"rows": r["rows"], "columns": r["columns"]} for r in output_summary(frames).collect()}  # a row per result
+    return {"inputs": inputs, "parameters": parameters, "outputs": made}
+
+
 def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """A small result as a pipe table."""
+    """A small result as a pipe table; a last line says so where there are more than ``limit`` rows."""
+    found = df.limit(limit + 1).collect()
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
-    rows = [df.columns, ["---"] * len(df.columns), *df.limit(limit).collect()]
-    return "\n".join("| " + " | ".join(map(cell, r)) + " |" for r in rows)
+    rows = [df.columns, ["---"] * len(df.columns), *found[:limit]]
+    more = [f"\nThe first {limit} rows."] if len(found) > limit else []
+    return "\n".join(["| " + " | ".join(map(cell, r)) + " |" for r in rows] + more)
 
 
 def cypher_script(nodes_file: str, edges_file: str, families: list[str]) -> str:

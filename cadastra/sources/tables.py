@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cadastra.operators import notices
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,6 +62,19 @@ def read_notices(spark: SparkSession, folder: str, limit_files: int = 0) -> Data
     return lines.select("source_file", year.alias("year"), (F.col("i") + 1).alias("line_no"), "raw_line")
 
 
+def read_sentences(spark: SparkSession, mode: str, path: str, limit_files: int = 0, limit: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Sentences with ids and the lines they come from (empty for ``csv``), by the kind of input: a folder
+    of notices (``source``) or a table of sentences (``csv``). Limits of 0 mean all."""
+    if mode == "csv":
+        rows = read_csv(spark, path, SENTENCES)
+        return (rows.orderBy("sentence_id").limit(limit) if limit > 0 else rows), spark.createDataFrame([], SOURCE_LINES)
+    if mode != "source":
+        raise ValueError(f"input mode {mode}; there are source and csv")
+    lines = read_notices(spark, path, limit_files)
+    rows = notices.sentences(notices.parse_lines(lines), limit)
+    return notices.dense_ids(rows, ["source_file", "line_no", "sentence_no"], "sentence_id", "S%06d"), lines
+
+
 def read_yearly_csv(spark: SparkSession, glob: str, fields: str) -> DataFrame:
     """CSV files whose names end in _YYYY.csv, with that year as a column."""
     df = spark.read.schema(fields).option("header", True).csv(glob)

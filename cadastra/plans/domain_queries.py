@@ -280,6 +280,9 @@ r AS (SELECT name, arg_max(admin_code, (CASE WHEN ends_with(full_path, name) THE
     "graph_overview": f"""WITH {_AREAS}, c AS (SELECT n_name AS admin_name, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
 SELECT node_id, admin_code, admin_name, admin_level, object_node_id AS parent_id, coalesce(k, 0) AS relation_count FROM nodes JOIN aff ON subject_node_id = node_id LEFT JOIN c USING (admin_name) WHERE admin_level IN ('province', 'prefecture')""",
     "dictionary_matches": _MATCHES,
+    "greedy_spans": f"""WITH w AS ({_MATCHES}), g AS (SELECT page_id, list([{{'s': start_pos, 'e': end_pos, 'n': name}}] ORDER BY length(name) DESC, start_pos, end_pos, name) AS l FROM w GROUP BY 1),
+k AS (SELECT page_id, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda y: x[1].s < y.e AND y.s < x[1].e)) > 0 THEN a ELSE list_concat(a, x) END)) AS k FROM g)
+SELECT page_id, k.s AS start_pos, k.e AS end_pos, k.n AS name FROM k""",
     "grid_sum": f"WITH {_POINTS} SELECT CAST(floor((lon + 180) / 30) AS BIGINT) AS cell_x, CAST(floor((lat + 90) / 30) AS BIGINT) AS cell_y, sum(value) AS value, count(*) AS pixel_count, -180 + (floor((lon + 180) / 30) + 0.5::DOUBLE) * 30 AS lon, -90 + (floor((lat + 90) / 30) + 0.5::DOUBLE) * 30 AS lat FROM p GROUP BY ALL",
     "points_in_polygons": f"""WITH {_POINTS}, q AS (SELECT c_custkey, (lon BETWEEN -150.05 AND -20.05 AND lat BETWEEN -60.05 AND 60.05) AND NOT (lon BETWEEN -100.05 AND -60.05 AND lat BETWEEN -30.05 AND 30.05) AS w, lon BETWEEN -40.05 AND 120.05 AND lat BETWEEN -40.05 AND 40.05 AS e FROM p)
 SELECT c_custkey, CASE WHEN w THEN 'west' ELSE 'east' END AS polygon_id FROM q WHERE w OR e""",

@@ -63,21 +63,49 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
+#: Keys of a few numbers, up to this many (some 100 MB in memory), go to all tasks for a join.
+FEW = 500_000
+
+
+def sent_if_few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A table of narrow rows that ``cut`` wrote, to be broadcast where its counted rows allow;
+    else Spark joins it as it sees fit, by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _written:
+        _written.remove(path)
+
+
 def forget(df: DataFrame) -> None:
     """Delete what ``cut`` wrote; only for tables that no later plan reads."""
-    jvm, path = df.sparkSession._jvm, df._cut_path
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    _delete(df.sparkSession, df._cut_path)
+
+
+def cut_alone(make, name: str) -> DataFrame:
+    """``cut`` of the table that ``make()`` gives; what else was cut on its way is deleted."""
+    before = set(_written)
+    out = cut(make(), name)
+    for path in [p for p in _written if p not in before and p != out._cut_path]:
+        _delete(out.sparkSession, path)
+    return out
 
 
 def each(texts: pa.Array, rows: int = 256) -> Iterator[bytes]:
@@ -88,14 +116,41 @@ def each(texts: pa.Array, rows: int = 256) -> Iterator[bytes]:
             yield t or b""
 
 
-def give_back() -> None:
-    """Return freed memory of a Python worker, which lives on for other tasks, to the system."""
-    gc.collect()
+def trim() -> None:
+    """Return freed memory of a Python worker to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library can
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def give_back() -> None:
+    """Return memory of a Python worker, which lives on for other tasks, to the system."""
+    gc.collect()
+    trim()
+
+
+#: Rows that go to a Python worker at once: an executor holds each batch twice.
+ARROW_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches of the session have at most ``ARROW_ROWS`` rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` in small batches, where each task gives its memory back at its end."""
+    small_batches(df.sparkSession)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of a caller can't clash with ours."""
     missing = [n for n in names if n not in df.columns]

@@ -1,133 +1,71 @@
 """License scans by ordered signature rules.
 
-Rules are regular expressions, each with a label, a priority and keywords. A text's keywords are
-found first, and only rules of which a keyword is there are tried. Of overlapping detections one
-inside another's interval goes unless its priority is higher, and one with the interval of a
-lower priority's inside it suppresses that.
+Rules are regular expressions written by hand (``license_rules``), each with a label, a priority and
+keywords. A text's keywords are found first, and only rules of which all are there are tried, in
+order of priority. Of two detections one of which lies inside the other, the one of higher priority
+stays, of equal ones the longer; detections that overlap in part both stay. Rules that deny a
+license have the highest priority, so what they cover is gone.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cadastra.llm.common import each, pick, table
+from cadastra.llm.common import each, in_arrow, pick, table
+from cadastra.llm.license_rules import PARTS, TABLE
 
 #: Phrases of the base scan, whose words must stand consecutively, and their labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-_V = r"[ ,]*(?:v|ver|version)?[ .]*"
-#: (label, name as a regular expression, keyword that any match holds)
-FAMILIES = [
-    ("mit", r"(?:mit|expat|x11)", ""),
-    ("apache-1.1", rf"apache(?: software)? license{_V}1\.1", "apache"),
-    ("apache-2", rf"apache(?: software)? license{_V}2(?:\.0)?", "apache"),
-    ("gpl-1", rf"(?:gnu )?(?:general public license|gpl){_V}1(?:\.0)?", "g"),
-    ("gpl-2", rf"(?:gnu )?(?:general public license|gpl){_V}2(?:\.0)?", "g"),
-    ("gpl-3", rf"(?:gnu )?(?:general public license|gpl){_V}3(?:\.0)?", "g"),
-    ("lgpl-2", rf"(?:gnu )?(?:(?:lesser|library) general public license|lgpl){_V}2(?:\.0)?(?![.\d])", "g"),
-    ("lgpl-2.1", rf"(?:gnu )?(?:(?:lesser|library) general public license|lgpl){_V}2\.1", "g"),
-    ("lgpl-3", rf"(?:gnu )?(?:(?:lesser|library) general public license|lgpl){_V}3(?:\.0)?", "g"),
-    ("agpl-3", rf"(?:gnu )?(?:affero general public license|agpl){_V}3(?:\.0)?", "a"),
-    ("gfdl", r"gnu free documentation license", "gnu free documentation"),
-    ("bsd-2", r"(?:2|two)[- ]clause bsd|simplified bsd", "bsd"),
-    ("bsd-3", r"(?:3|three)[- ]clause bsd|(?:new|revised|modified) bsd", "bsd"),
-    ("bsd-4", r"(?:4|four)[- ]clause bsd|original bsd", "bsd"),
-    ("bsd-0", r"(?:0|zero)[- ]clause bsd", "bsd"),
-    ("mpl-1.1", rf"mozilla public license{_V}1\.1", "mozilla"),
-    ("mpl-2", rf"mozilla public license{_V}2(?:\.0)?", "mozilla"),
-    ("epl-1", rf"eclipse public license{_V}1(?:\.0)?", "eclipse"),
-    ("epl-2", rf"eclipse public license{_V}2(?:\.0)?", "eclipse"),
-    ("cddl-1", rf"common development and distribution license{_V}1(?:\.\d)?", "common development"),
-    ("cpl-1", rf"common public license{_V}1(?:\.0)?", "common public"),
-    ("eupl-1.2", rf"european union public licen[cs]e{_V}1\.2", "european union"),
-    ("artistic-2", rf"artistic license{_V}2(?:\.0)?", "artistic"),
-    ("boost-1", rf"boost software license{_V}1(?:\.0)?", "boost"),
-    ("zlib", r"zlib(?:/libpng)?", "zlib"),
-    ("isc", r"isc", "isc"),
-    ("unlicense", r"unlicense", "unlicense"),
-    ("wtfpl", r"(?:do what the fuck you want to public license|wtfpl)", "w"),
-    ("ofl-1.1", rf"(?:sil )?open font license{_V}1\.1", "open font"),
-    ("python-2", r"python software foundation", "python software"),
-    ("postgresql", r"postgresql", "postgresql"),
-    ("ms-pl", r"microsoft public", "microsoft public"),
-    ("upl-1", rf"universal permissive license{_V}1(?:\.0)?", "universal permissive"),
-    ("bsl-1.1", rf"business source license{_V}1\.1", "business source"),
-    ("sspl-1", rf"server side public license{_V}1", "server side"),
-    ("elastic-2", rf"elastic license{_V}2(?:\.0)?", "elastic"),
-    ("odbl-1", rf"open (?:data commons )?(?:open )?database license{_V}1?(?:\.0)?", "database license"),
-    ("cc0-1", r"(?:cc0|creative commons zero)(?: 1\.0)?", "c"),
-]
-#: How a license is named: (sentence around {}, keyword, priority out of 100).
-FRAMES = [
-    (r"(?:released|licensed|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?(?:{})(?: licen[cs]e)?", "under", 95),
-    (r"(?:governed|covered) by (?:the )?(?:terms of )?(?:the )?(?:{})(?: licen[cs]e)?", "ed by", 90),
-    (r"(?:subject to|in accordance with) (?:the )?(?:terms of )?(?:the )?(?:{})(?: licen[cs]e)?", "", 85),
-    (r"licen[cs]e\s*[:=]\s*(?:the )?(?:{})", "licen", 88),
-    (r"(?:work|software|file|code|library|program|content)s? (?:is|are) (?:under )?(?:the )?(?:{})(?: licen[cs]ed?)", "licen", 80),
-    (r"(?:under )?(?:the )?(?:{})(?: licen[cs]e)", "licen", 60),
-]
-_CC = r"(?:creative commons|cc)"
-#: Creative Commons terms: a rule for each, in words and in letters.
-CC_TERMS = [
-    ("cc-by-nc-nd", "attribution[- ]non-?commercial[- ]no-?deriv(?:ative)?s", "by[- ]nc[- ]nd"),
-    ("cc-by-nc-sa", "attribution[- ]non-?commercial[- ]share-?alike", "by[- ]nc[- ]sa"),
-    ("cc-by-nc", "attribution[- ]non-?commercial", "by[- ]nc"),
-    ("cc-by-nd", "attribution[- ]no-?deriv(?:ative)?s", "by[- ]nd"),
-    ("cc-by-sa", "attribution[- ]share-?alike", "by[- ]sa"),
-    ("cc-by", "attribution", "by"),
-]
-#: Rules that stand alone: (label, pattern, keyword, priority)
-SINGLE = [
-    ("all-rights-reserved", r"all rights reserved\b", "all rights reserved", 50),
-    ("proprietary", r"(?:proprietary and confidential|may not be (?:copied|reproduced|distributed))", "", 55),
-    ("copyright", r"(?:copyright|\(c\)|©)\s*(?:\(c\)|©)?\s*(?:19|20)\d\d", "", 30),
-    ("public-domain", r"(?:released|dedicated|placed) (?:in)?to the public domain", "public domain", 85),
-    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy", "permission is hereby", 98),
-    ("isc", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", "permission to use", 97),
-    ("bsd-3", r"neither the name of (?s:.){1,80}? nor the names of its contributors", "neither the name", 97),
-    ("bsd-2", r"redistribution and use in source and binary forms", "redistribution", 70),
-    ("zlib", r"this software is provided 'as-is', without any express or implied warranty", "as-is", 90),
-]
-GATE = re.compile(r"licen[cs]|under|copyright|\(c\)|©|creative\s+commons|\bcc|reserved|permission|redistribution|public\s+domain|may\s+not\s+be|proprietary|neither\s+the\s+name|as-is|covered|governed|subject\s+to|accordance")
+DENIED = "!"
 
 
 class Rule(NamedTuple):
     label: str
     priority: int
-    keywords: tuple[str, ...]
+    keywords: tuple[tuple[str, ...], ...]
     find: re.Pattern
 
 
-def _widened(m: re.Match) -> str:
-    """A blank of a pattern, or a character class of it, with any white space for the blank."""
-    if m[0] == "[- ]":
-        return r"(?:-\s*|\s+)"
-    return r"\s+" if m[0] == " " else m[0].replace(" ", r"\s")
-
-
 @lru_cache(1)
 def rules() -> list[Rule]:
-    """All rules by priority: every family in every frame, the Creative Commons terms, the single ones."""
-
-    def rule(label: str, priority: int, words: tuple[str, ...], pattern: str) -> Rule:
-        spaced = re.sub(r"\[[^\]]*\]| ", _widened, pattern)
-        single = dict.fromkeys(w for phrase in words for w in phrase.split())
-        return Rule(label, priority, tuple(w for w in single if len(w) > 1), re.compile(rf"(?<!\w){spaced}(?!\w)"))
-
-    out = [rule(label, p, (word, key), frame.format(name)) for label, name, key in FAMILIES for frame, word, p in FRAMES]
-    for label, long, short in CC_TERMS:
-        for name, p in ((rf"{_CC} {long}", 92), (rf"cc[- ]{short}", 90)):
-            out.append(rule(label, p, (), rf"{name}(?:[- ]\d(?:\.\d)?)?"))
-    out += [rule(label, p, (key,), pattern) for label, pattern, key, p in SINGLE]
+    """All rules by falling priority."""
+    out = []
+    for line in TABLE.strip().splitlines():
+        label, priority, words, pattern = line.split(" | ", 3)
+        for name, part in PARTS.items():
+            pattern = pattern.replace(name, part)
+        keywords = tuple(tuple(w.replace("_", " ") for w in k.split("/") if w) if "/" in k.strip("/") else (k.replace("_", " "),) for k in words.split())
+        out.append(Rule(label, int(priority), keywords, re.compile(rf"(?:{pattern})(?!\w)")))
     return sorted(out, key=lambda r: -r.priority)
 
 
+@lru_cache(1)
+def _by_keyword() -> list[tuple[tuple[str, ...], list[Rule]]]:
+    """Rules under the longest of their keywords, which is sought first."""
+    found: dict[tuple[str, ...], list[Rule]] = {}
+    for r in rules():
+        found.setdefault(max(r.keywords, key=lambda k: min(map(len, k))), []).append(r)
+    return list(found.items())
+
+
+def tried(text: str) -> list[Rule]:
+    """Rules whose keywords are in the text."""
+    out = []
+    for first, group in _by_keyword():
+        if any(w in text for w in first):
+            out += [r for r in group if all(any(w in text for w in k) for k in r.keywords)]
+    return out
+
+
 class Found(NamedTuple):
     start: int
     end: int
@@ -135,46 +73,103 @@ class Found(NamedTuple):
     priority: int
 
 
-def detect(text: str, prefilter: bool = True) -> list[Found]:
-    """Detections in a lower-cased text that no other one suppresses, by place. The prefilter
-    only saves time."""
-    if prefilter and not GATE.search(text):
-        return []
-    there: dict[str, bool] = {}
-    found: list[Found] = []
-    for r in rules():
-        for w in r.keywords:
-            if w not in there:
-                there[w] = w in text
-        if not prefilter or all(there[w] for w in r.keywords):
-            found += [Found(m.start(), m.end(), r.label, r.priority) for m in r.find.finditer(text)]
-    found = sorted(set(found), key=lambda f: (-f.priority, f.start - f.end, f.start, f.label))
+def matches(rule: Rule, text: str) -> Iterator[Found]:
+    """Places of a rule that begin at a word's border, from left to right without overlap."""
+    at, find = 0, rule.find.search
+    place = "at" if "at" in rule.find.groupindex else 0
+    while m := find(text, at):
+        start = m.start(place)
+        if start and (text[start - 1].isalnum() or text[start - 1] == "_") and (text[start].isalnum() or text[start] == "_"):
+            at = m.start() + 1
+        else:
+            yield Found(start, m.end(place), rule.label, rule.priority)
+            at = max(m.end(), m.start() + 1)
+
+
+def unsuppressed(found: list[Found]) -> list[Found]:
+    """Detections that stay, by place. None of those kept lies in another, so their ends are in
+    order as their starts are, and one look to each side tells."""
+    starts: list[int] = []
     kept: list[Found] = []
-    for f in found:
-        inside = any(k.start <= f.start and f.end <= k.end for k in kept)
-        around = any(f.start <= k.start and k.end <= f.end for k in kept)
+    for f in sorted(set(found), key=lambda f: (-f.priority, f.start - f.end, f.start, f.label)):
+        before = bisect_right(starts, f.start) - 1
+        after = bisect_left(starts, f.start)
+        inside = before >= 0 and kept[before].end >= f.end
+        around = after < len(kept) and kept[after].end <= f.end
         if not inside and not around:
-            kept.append(f)
-    return sorted(kept)
+            starts.insert(after, f.start)
+            kept.insert(after, f)
+    return kept
+
 
+#: White space, with the mark that begins a comment's line.
+_GAPS = re.compile(r"\s+(?:(?:\*|#+|//+|;+|%+)\s+)?")
 
-_UPPER = bytes(range(65, 91))
+
+def _single_blanks(text: str) -> tuple[str, list[int], list[int]]:
+    """The text with one blank for each gap; from which places on, and how far, it is shifted."""
+    ends, taken = [], []
+    for m in _GAPS.finditer(text):
+        if len(m[0]) > 1:
+            ends.append(m.end())
+            taken.append(len(m[0]) - 1)
+    shifts = list(accumulate(taken))
+    return _GAPS.sub(" ", text), [e - s for e, s in zip(ends, shifts, strict=True)], shifts
+
+
+def detect_all(text: str, prefilter: bool = True) -> list[Found]:
+    """Like ``detect``, with denials (label ``!``)."""
+    plain, places, shifts = _single_blanks(text)
+    found = unsuppressed([f for r in (tried(plain) if prefilter else rules()) for f in matches(r, plain)])
+    if not places:
+        return found
+
+    def back(at: int) -> int:
+        k = bisect_right(places, at)
+        return at + (shifts[k - 1] if k else 0)
+
+    return [Found(back(f.start), back(f.end - 1) + 1, f.label, f.priority) for f in found]
+
+
+def detect(text: str, prefilter: bool = True) -> list[Found]:
+    """Detections in a text in lower case that no other one suppresses, by place. The prefilter
+    only saves time."""
+    return [f for f in detect_all(text, prefilter) if f.label != DENIED]
+
+
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TO_SPACE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _PHRASES = [(re.compile(rb"(?<![^ ])" + rb" +".join(p.encode().split()) + rb"(?![^ ])"), max(p.encode().split(), key=len), label) for p, label in BASE]
 
 
+def _bytes_at(text: str, places: list[int]) -> list[int]:
+    """UTF-8 offsets of rising character offsets."""
+    return list(accumulate(len(text[a:b].encode()) for a, b in zip([0, *places], places, strict=False)))
+
+
 def scan(text: bytes) -> dict:
     """Base places (word number, label), detections, and the number of words of one text."""
     line = text.translate(_TO_SPACE)
-    places = []
-    for find, word, label in _PHRASES:
-        if word in line:
-            places += [(len(line[: m.start()].split()), label) for m in find.finditer(line)]
-    found = detect(text.decode(errors="replace").lower())
+    hits = sorted((m.start(), m.end(), label) for find, word, label in _PHRASES if word in line for m in find.finditer(line))
+    places, words, at = [], 0, 0
+    for start, _, label in hits:  # words are counted once, from one place to the next
+        words += len(line[at:start].split())
+        at = start
+        places.append((words, label))
+    low = text.translate(_LOWER).decode(errors="replace")
+    found = detect_all(low)
+    starts, ends = _bytes_at(low, [f.start for f in found if f.label == DENIED]), _bytes_at(low, [f.end for f in found if f.label == DENIED])
+
+    def denied(start: int, end: int) -> bool:
+        k = bisect_right(starts, start) - 1
+        return k >= 0 and end <= ends[k]
+
+    open_ = [h for h in hits if not denied(h[0], h[1])]
+    found = [f for f in found if f.label != DENIED]
     base = sorted({x for _, x in places})
     labels = sorted({*base, *(f.label for f in found)})
-    score = max([f.priority / 100 for f in found] + [0.95 * bool(places)])
-    return {"n_words": len(line.split()), "places": sorted(places), "base": base, "labels": labels, "found": found, "score": score}
+    score = max([f.priority / 100 for f in found] + [0.95 * bool(open_)])
+    return {"n_words": words + len(line[at:].split()), "places": places, "base": base, "labels": labels, "found": found, "score": score}
 
 
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<start:int,end:int,label:string,priority:int>>"
@@ -202,10 +197,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """License detections of every text of ``docs`` (doc_id, text); positions are characters.
 
     A null text counts as empty: no words, empty labels, score 0. Every row gives a row, repeated
-    ones too; other columns are ignored. score is the best detection's priority out of 100, or
-    0.95 for a text with base phrases only.
+    ones too; other columns are ignored. score is the best detection's priority out of 100, and at
+    least 0.95 for a text with a base phrase that isn't denied. A denied base phrase keeps its label.
     """
-    return pick(docs, "doc_id", "text").mapInArrow(_scans, f"doc_id long, {SCHEMA}")
+    return in_arrow(pick(docs, "doc_id", "text"), _scans, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import pick, table
+from cadastra.llm.common import each, in_arrow, pick, table
 
 SIDE = 32
 BLOCKS = (SIDE // 8) ** 2
@@ -73,28 +73,44 @@ def _chunk(name: bytes, body: bytes) -> bytes:
     return name + struct.pack("<I", len(body)) + body + b"\x00" * (len(body) % 2)
 
 
+#: Frames that are made or decoded at once, so that long texts take little more than their files.
+AT_ONCE = 256
+
+
+def _coded(payload: memoryview) -> Iterator[bytes]:
+    """The JPEG frames of a payload, some at a time."""
+    step = AT_ONCE * BLOCKS * 64
+    for at in range(0, len(payload), step):
+        part = bytes(payload[at : at + step])
+        n = -(-len(part) // (64 * BLOCKS))
+        bits = np.zeros((n * BLOCKS * 64, 9), np.uint8)
+        bits[: len(part), 1:] = np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 1), axis=1)
+        coded = np.packbits(bits.reshape(-1)).tobytes()
+        for i in range(n):
+            yield _jpeg(coded[i * 72 * BLOCKS : (i + 1) * 72 * BLOCKS])
+
+
 def write_avi(payload: bytes) -> bytes:
     """An AVI file that holds ``payload``, whose length is a multiple of 64."""
-    n = -(-len(payload) // (64 * BLOCKS))
-    raw = np.frombuffer(payload.ljust(n * BLOCKS * 64, b"\x00"), np.uint8)
-    bits = np.zeros((n * BLOCKS * 64, 9), np.uint8)
-    bits[:, 1:] = np.unpackbits(raw.reshape(-1, 1), axis=1)
-    coded = np.packbits(bits.reshape(-1)).tobytes()
-    frames = [_jpeg(coded[i * 72 * BLOCKS : (i + 1) * 72 * BLOCKS]) for i in range(n)]
-    largest = max(map(len, frames))
+    chunks, sizes = [], []
+    for f in _coded(memoryview(payload)):
+        chunks.append(_chunk(b"00dc", f))
+        sizes.append(len(f))
+    n, largest = len(sizes), max(sizes)
+    index, at = [], 4
+    for chunk, size in zip(chunks, sizes, strict=True):
+        index.append(struct.pack("<4sIII", b"00dc", 0x10, at, size))
+        at += len(chunk)
     main = struct.pack("<14I", MS * 1000, 0, 0, 0x10, n, 0, 1, largest, SIDE, SIDE, 0, 0, 0, 0)
     head = struct.pack("<4s4sIHHIIIIIIIIHHHH", b"vids", b"MJPG", 0, 0, 0, 0, MS, 1000, 0, n, largest, 0xFFFFFFFF, 0, 0, 0, SIDE, SIDE)
     form = struct.pack("<IiiHH4sIiiII", 40, SIDE, SIDE, 1, 24, b"MJPG", SIDE * SIDE * 3, 0, 0, 0, 0)
     stream = _chunk(b"LIST", b"strl" + _chunk(b"strh", head) + _chunk(b"strf", form))
     about = _chunk(b"LIST", b"INFO" + _chunk(b"ICMT", b"payload bytes %d" % len(payload)))
-    chunks, index, at = [], [], 4
-    for f in frames:
-        chunks.append(_chunk(b"00dc", f))
-        index.append(struct.pack("<4sIII", b"00dc", 0x10, at, len(f)))
-        at += len(chunks[-1])
-    body = b"AVI " + _chunk(b"LIST", b"hdrl" + _chunk(b"avih", main) + stream) + about
-    body += _chunk(b"LIST", b"movi" + b"".join(chunks)) + _chunk(b"idx1", b"".join(index))
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+    before = b"AVI " + _chunk(b"LIST", b"hdrl" + _chunk(b"avih", main) + stream) + about
+    before += b"LIST" + struct.pack("<I", at) + b"movi"
+    after = _chunk(b"idx1", b"".join(index))
+    whole = len(before) + at - 4 + len(after)
+    return b"".join([b"RIFF", struct.pack("<I", whole), before, *chunks, after])
 
 
 def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -104,8 +120,8 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + size + size % 2
 
 
-def read_frames(data: bytes) -> tuple[list[bytes], int, float]:
-    """JPEG frames by the file's index, its payload length and milliseconds per frame."""
+def read_index(data: bytes) -> tuple[list[tuple[int, int]], int, float]:
+    """(place, size) of JPEG frames by the file's index, its payload length and milliseconds per frame."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     movi, frames, length, ms = 0, [], -1, float(MS)
@@ -122,10 +138,15 @@ def read_frames(data: bytes) -> tuple[list[bytes], int, float]:
         elif name == b"idx1":
             for k in range(size // 16):
                 _, _, offset, n = struct.unpack_from("<4sIII", data, at + 16 * k)
-                frames.append(data[movi + offset + 8 : movi + offset + 8 + n])
+                frames.append((movi + offset + 8, n))
     return frames, length, ms
 
 
+def read_frames(data: bytes) -> tuple[list[bytes], int, float]:
+    frames, length, ms = read_index(data)
+    return [data[at : at + n] for at, n in frames], length, ms
+
+
 def _huffman(table: bytes) -> dict[tuple[int, int], int]:
     """(length, code) to symbol."""
     out, code, at = {}, 0, 16
@@ -228,12 +249,16 @@ def encode(text: bytes) -> bytes:
 
 def describe(data: bytes) -> dict:
     """Payload, clips in milliseconds and the summed histogram of an AVI file that ``encode`` made."""
-    frames, length, ms = read_frames(data)
-    got = [read_jpeg(f) for f in frames]
-    coefficients = np.concatenate([c for c, _ in got])
-    hist = histograms(coefficients, got[0][1])
+    frames, length, ms = read_index(data)
+    hists, parts = [], []
+    for k in range(0, len(frames), AT_ONCE):
+        got = [read_jpeg(data[at : at + n]) for at, n in frames[k : k + AT_ONCE]]
+        coefficients = np.concatenate([c for c, _ in got])
+        hists.append(histograms(coefficients, got[0][1]))
+        parts.append(payload_of(coefficients))
+    hist = np.concatenate(hists)
     clips = [(round(a * ms), round(b * ms)) for a, b in shots(hist)]
-    return {"payload": payload_of(coefficients)[:length], "frames": len(frames), "clips": clips, "hist": hist.sum(axis=0)}
+    return {"payload": b"".join(parts)[:length], "frames": len(frames), "clips": clips, "hist": hist.sum(axis=0)}
 
 
 SCHEMA = (
@@ -249,13 +274,13 @@ def _media(outputs: bool):
             for at in range(0, len(batch), 256):
                 b = batch.slice(at, 256)
                 rows = []
-                for t in b.column("text").cast(pa.binary()).to_pylist():
-                    avi = encode(t or b"")
+                for t in each(b.column("text"), 16):
+                    avi = encode(t)
                     got = describe(avi)
                     p, clips = got["payload"], got["clips"]
                     feature = f"frames={got['frames']};shots={len(clips)};cuts={','.join(str(a) for a, _ in clips)};hist={','.join(map(str, got['hist']))}"
                     rows.append(
-                        (len(t or b""), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(avi), hashlib.sha256(avi).hexdigest(), feature,
+                        (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(avi), hashlib.sha256(avi).hexdigest(), feature,
                          [{"start_ms": x, "end_ms": y} for x, y in clips], avi if outputs else None)
                     )
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), clip, pa.binary()]
@@ -272,10 +297,10 @@ def media_columns(docs: DataFrame, outputs: bool = False) -> DataFrame:
     all taken from the file as read back; with ``outputs`` also ``media``, the file.
 
     A null text counts as empty; an empty text is one block of zeros. Every row gives a row,
-    equal texts equal values; other columns are ignored.
+    equal texts equal values; other columns are ignored. A long text takes some six times its bytes.
     """
-    schema = f"doc_id long, {SCHEMA}" + (", media binary" if outputs else "")
-    return pick(docs, "doc_id", "text").mapInArrow(_media(outputs), schema)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}" + (", media binary" if outputs else "")
+    return in_arrow(pick(docs, "doc_id", "text"), _media(outputs), schema)
 
 
 def clip_rows(docs: DataFrame) -> DataFrame:

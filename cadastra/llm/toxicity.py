@@ -67,16 +67,17 @@ def features() -> Features:
     return Features(rb"[a-z\x80-\xff]+", True, prefixes=(4, 5, 6))
 
 
-def train(texts: Iterable[bytes], labels: list[int]) -> np.ndarray:
+def train(texts: Iterable[bytes], labels: list[int], penalty: float = PENALTY) -> np.ndarray:
+    """The model; without a penalty swapped texts are not looked at."""
     make, model = features(), Ftrl(alpha=1.0, l1=8.0, l2=0.1)
     of = lambda t: distinct(make(t)).astype(np.int32)
-    rows = [(of(t), [of(c) for c in counterfactuals(t)]) for t in texts]
+    rows = [(of(t), [of(c) for c in counterfactuals(t)] if penalty else []) for t in texts]
     for _ in range(EPOCHS):
         for (x, cs), y in zip(rows, labels, strict=True):
             model.learn(x, int(y), TOXIC_WEIGHT if y else 1.0)
             for c in cs:
                 model.learn(c, int(y), (TOXIC_WEIGHT if y else 1.0) / 2)
-                model.level(x, c, PENALTY)
+                model.level(x, c, penalty)
     return model.model()
 
 

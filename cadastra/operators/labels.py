@@ -134,7 +134,9 @@ def char_ngrams(text: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
 
 
 def tf_idf(docs: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(key, term, tf, weight): counts times ln((1 + n) / (1 + df)) + 1, each document to unit length."""
+    """(key, term, tf, weight): counts times ln((1 + n) / (1 + df)) + 1, each document to unit length.
+
+    A frequent term is a hot key of the join with its document count, whose side adaptive execution splits."""
     counts = docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     n = docs.count()
     df = counts.groupBy("term").agg(F.count("*").alias("df"))

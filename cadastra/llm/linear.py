@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import each, give_back, pick
+from cadastra.llm.common import each, give_back, pick, small_batches, trim
 
 DIMENSIONS = 1 << 18
 _MASK = np.uint64(DIMENSIONS - 1)
@@ -125,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Callable[[Iterabl
     n = known.count()
     if n > sample:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    small_batches(docs.sparkSession)
     rows = pick(docs, "doc_id", "text").join(F.broadcast(known), "doc_id")
     rows = rows.select(F.lit(0).alias("one"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("o"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), "y")
 
@@ -149,6 +150,8 @@ def scorer(model: np.ndarray, make: Callable[[], Features]):
     def scores(texts: pa.Array) -> pa.Array:
         if not made:
             made.append(make())
-        return pa.array([score(model, made[0](t)) for t in each(texts)], pa.float64())
+        out = pa.array([score(model, made[0](t)) for t in each(texts)], pa.float64())
+        trim()
+        return out
 
     return lambda text: scores(F.coalesce(text, F.lit("")).cast("binary"))

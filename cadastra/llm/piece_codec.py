@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cadastra.llm.common import pick, table
+from cadastra.llm.common import in_arrow, pick, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -314,7 +314,7 @@ def encode_decode(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
     doc_id is passed on as it is. Other columns are ignored; an empty table gives an empty result.
     """
     schema = DIGESTS + (", ids array<int>" if ids else "")
-    return pick(docs, "doc_id", "text").mapInArrow(_coded(path, ids), schema)
+    return in_arrow(pick(docs, "doc_id", "text"), _coded(path, ids), schema)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,13 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import cut, each, forget, pick, table
+from cadastra.llm.common import cut, each, forget, in_arrow, pick, table
 
 BITS = 64
 SHINGLE = 3
 DISTANCE = 2
 SEED = 42
 GROUP = 64
+#: A fingerprint of over a HOT-th of all rows is a hot one.
+HOT = 1_000
+
+
+def majority(hashes: bytes) -> int:
+    """Of 64-bit big-endian hashes, the bits that are set in over half; 0 without any."""
+    bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, BITS)
+    ones = np.add.reduce(bits, axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(2 * ones > len(bits)).tobytes(), "big")
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -44,16 +53,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         return 0
     line = b" ".join(ws)
     ends = list(accumulate(len(w) + 1 for w in ws))
-    n = max(1, len(ws) - shingle + 1)
     digest = xxhash.xxh64_digest
     if len(ws) <= shingle:
         hashes = digest(line, SEED)
     else:
-        starts = [0, *ends[: n - 1]]
+        starts = [0, *ends[: len(ws) - shingle]]
         hashes = b"".join([digest(line[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=True)])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(n, BITS)
-    ones = np.add.reduce(bits, axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return majority(hashes)
 
 
 def _fingerprints(shingle: int):
@@ -80,7 +86,7 @@ def _bit_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     """Number of fingerprints, and how many have bits i and j set; over all of them."""
     schema = "bit long, " + ", ".join(f"c{j} long" for j in range(BITS))
-    rows = fps.select("fp").mapInArrow(_bit_sums, schema).groupBy("bit").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(BITS))).collect()
+    rows = in_arrow(fps.select("fp"), _bit_sums, schema).groupBy("bit").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(BITS))).collect()
     sums = np.zeros((BITS, BITS))
     for r in rows:
         sums[r["bit"]] = r[1:]
@@ -187,7 +193,8 @@ def link(fps: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFr
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): the smallest node reachable.
+    """(node, root) for every node of ``edges`` (a, b): the smallest node reachable. Raises RuntimeError
+    where ``rounds`` are not enough, which is far beyond the logarithm of any table's size.
 
     Large-star and small-star steps as joins with aggregated minima, so a hub's neighbours
     are never gathered in one row; each round is written to the shared folder."""
@@ -220,15 +227,22 @@ def simhash_components(
     null doc_id get a row; a component of only such rows has a null id. Repeated rows repeat.
     Other columns are ignored; an empty table gives an empty result.
     """
-    rows = pick(docs, "doc_id", "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    rows = in_arrow(pick(docs, "doc_id", "text"), _fingerprints(shingle), "doc_id long, fp long")
     rows = cut(rows, "fingerprints")
-    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "fps")
-    roots = components(link(fps, distance, group))
+    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), "fps")
+    roots = components(link(fps.select("fp"), distance, group))
     linked = fps.join(roots.withColumnRenamed("node", "fp"), "fp")
     heads = linked.groupBy("root").agg(F.min("first_doc").alias("head"))
     named = linked.join(heads, "root").select("fp", "head")
-    labels = fps.join(named, "fp", "left").select("fp", F.coalesce("head", "first_doc").alias("component_id"))
-    return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = cut(fps.join(named, "fp", "left").select("fp", "n", F.coalesce("head", "first_doc").alias("component_id")), "labels")
+    # fingerprints of over a share of all rows, so at most HOT of them, go to all tasks; others meet by a shuffle
+    often = max(fps.agg(F.sum("n")).first()[0] or 0, 1) // HOT + 1
+    forget(fps)
+    hot = F.broadcast(labels.where(F.col("n") > often).select("fp", F.col("component_id").alias("own"), F.lit(True).alias("hot")))
+    marked = rows.join(hot, "fp", "left")
+    direct = marked.where("hot").select("doc_id", "fp", F.col("own").alias("component_id"))
+    rest = marked.where("hot is null").select("doc_id", "fp").join(labels.where(F.col("n") <= often), "fp")
+    return direct.unionByName(rest.select("doc_id", "fp", "component_id"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ from cadastra.llm.common import let, pick, table, words
 
 SPAN = 13
 GRAM = 6
-#: Up to this many benchmark windows the benchmark side is broadcast (about 100 bytes
-#: each); beyond it both joins shuffle and adaptive execution splits hot hashes.
+#: Up to this many benchmark windows, each counted once for every item that has it, the benchmark
+#: side is broadcast (about 100 bytes each); beyond it both joins shuffle and adaptive execution splits
+#: hot hashes.
 BROADCAST_WINDOWS = 200_000
 
 
@@ -109,6 +110,7 @@ def decontaminate(
     span: int = SPAN,
     gram: int = GRAM,
     broadcast_windows: int = BROADCAST_WINDOWS,
+    row_hash: bool = False,
 ) -> DataFrame:
     """Words of ``docs`` (doc_id, text) that lie in a window of ``benchmark`` (item_id, text).
 
@@ -117,6 +119,7 @@ def decontaminate(
     fewer than ``span`` words is one window of its own length, a wordless item none. Rows
     that repeat both doc_id and text each get their row; a null doc_id is a value of its
     own. Other columns of the inputs are ignored. Empty tables give empty or hitless results.
+    With ``row_hash`` there is also a column of that name, xxhash64 of doc_id and text.
     """
     items = pick(benchmark, "item_id", "text")
 
@@ -150,7 +153,7 @@ def decontaminate(
 
     places = pick(docs, "doc_id", "text").select(
         "doc_id",
-        F.xxhash64("text").alias("__t"),
+        F.xxhash64("doc_id", "text").alias("__t"),
         F.inline(_records(words(F.col("text")), ["doc_id"], span, gram, short)),
     )
     places = places.join(item_records, ["l", "h"], "left").where("l = 0 or __known")
@@ -181,6 +184,7 @@ def decontaminate(
         covered.cast("long").alias("n_hit"),
         "item_ids",
         "spans",
+        *([F.col("__t").alias("row_hash")] if row_hash else []),
         F.explode(F.sequence(F.lit(1), F.col("__rows"))).alias("__copy"),
     ).drop("__copy")
 

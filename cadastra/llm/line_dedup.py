@@ -151,8 +151,8 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN
     """
     lines = pick(docs, "doc_id", "text", "source").select("doc_id", *_row_key(), F.coalesce("source", F.lit("")).alias("site"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = cut(in_arrow(lines, _lines(min_chars), f"doc_id {kind}, r1 long, r2 long, site string, pos int, k1 long, k2 long"), "places")
-    lines = lines.withColumn("place", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos"))
+    places = cut(in_arrow(lines, _lines(min_chars), f"doc_id {kind}, r1 long, r2 long, site string, pos int, k1 long, k2 long"), "places")
+    lines = places.withColumn("place", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos"))
     bad = boilerplate(lines, min_sites)
     clash = [c for c in docs.columns if c.lower() in ("n_lines", "n_removed")]
     kept = [c for c in docs.columns if c not in clash]
@@ -161,6 +161,8 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN
         out = docs.withColumn("__line_new", _rewriter(bad.toArrow(), min_chars)("doc_id", "text"))
     else:
         out = _joined(docs, lines, bad)
+    forget(places)
+    forget(bad)
     changed = {"text": F.col("__line_new.text"), "n_lines": F.col("__line_new.n_lines"), "n_removed": F.col("__line_new.n_removed")}
     if "n_chars" in docs.columns:
         n = F.char_length("__line_new.text").cast(docs.schema["n_chars"].dataType)

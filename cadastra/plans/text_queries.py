@@ -29,13 +29,16 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag(t: Column) -> Column:
-    return F.when(t.rlike(r"^[.,!?;:|]$"), "w").when(t.rlike("^[a-z]+(ing|ed)$"), "v").when(t.rlike("^[A-Z]"), "LOC").otherwise("n")
+    """Marks, verbs, capitals and the rest; a pattern is tried only where an ending fits."""
+    verb = (t.endswith("ing") | t.endswith("ed")) & t.rlike("^[a-z]+(ing|ed)$")
+    return F.when(t.isin(list(".,!?;:|")), "w").when(verb, "v").when(F.left(t, F.lit(1)).between("A", "Z"), "LOC").otherwise("n")
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences with their tokens and tags."""
+    """Sentences with their tokens and tags, made once: a filter on them would make them again."""
     sents = notices.sentences(parsed(spark, sf_dir)).withColumnRenamed("source_file", "doc_id")
-    return tokens.tag_sentences(sents, F.regexp_extract_all("sentence", F.lit(TOKEN), F.lit(0)), tag)
+    got = tokens.tag_sentences(sents, F.regexp_extract_all("sentence", F.lit(TOKEN), F.lit(0)), tag)
+    return settle(got.select(*KEYS, "year", "sentence", "tokens", "tags"))
 
 
 def q_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,11 +89,11 @@ def q_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.verb_cooccurrence(settle(tagged(spark, sf_dir).select(*KEYS, "sentence", "tokens", "tags")), KEYS, "sentence")
+    return tokens.verb_cooccurrence(tagged(spark, sf_dir), KEYS, "sentence")
 
 
 def q_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sents = settle(tagged(spark, sf_dir).select(*KEYS, "year", "sentence", "tokens", "tags"))
+    sents = tagged(spark, sf_dir)
     rows = settle(tokens.verb_rows(sents, [*KEYS, "year"]))
     return tokens.relation_candidates(tokens.verb_frequency(rows, min_count=3), tokens.context_frames(rows), tokens.examples(rows, sents, KEYS, "sentence", 3))
 

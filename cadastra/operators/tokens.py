@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadastra.functions.text import let
 from cadastra.operators.notices import running
 from cadastra.operators.stages import settle
 
@@ -35,49 +37,62 @@ def tag_sentences(sents: DataFrame, tokens: Column, tag: Callable[[Column], Colu
     return sents.withColumn("tokens", tokens).withColumn("tags", F.transform("tokens", tag))
 
 
-def _neighbours_any(flags: Column, near: int) -> Column:
-    """For each place of an array of 0 and 1 whether there is a 1 up to ``near`` places away, by
-    maxima over spans that double."""
-    edge = F.array_repeat(F.lit(0), near)
-
-    def with_later(step: int):
-        later = lambda x: F.slice(x, F.lit(step + 1), F.greatest(F.size(x) - step, F.lit(0)))
-        return lambda x: F.zip_with(x, later(x), lambda u, v: F.greatest(u, F.coalesce(v, F.lit(0))))
-
-    def over(a: Column) -> Column:
-        have, width = 1, 2 * near + 1
-        while have < width:
-            step = min(have, width - have)
-            a = let(a, with_later(step))
-            have += step
-        return a
-
-    return F.slice(over(F.concat(edge, flags, edge)), 1, F.size(flags))
-
-
-def _context_arrays(tagged: DataFrame, fields: list[str], near: int, location_tags: list[str], keep: list[str]) -> DataFrame:
-    """``keep`` and an array for each of the fields, of sentences that have tokens."""
-    n = F.size("tags")
-    places = F.sequence(F.lit(1), n)
-    before = lambda a: F.concat(F.array(F.lit("")), F.slice(a, F.lit(1), n - 1))
-    after = lambda a: F.concat(F.slice(a, F.lit(2), n), F.array(F.lit("")))
-    is_tag = lambda test: F.transform("tags", lambda x: test(x).cast("int"))
-    made = {
-        "token_index": lambda: places,
-        "token": lambda: F.col("tokens"),
-        "pos": lambda: F.col("tags"),
-        "is_verb": lambda: is_tag(lambda x: x.startswith(VERB_MARK)),
-        "is_location": lambda: is_tag(lambda x: x.isin(location_tags)),
-        "token_position_ratio": lambda: F.transform(places, lambda i: F.bround(i / n, 6)),
-        "prev_token": lambda: before("tokens"),
-        "prev_pos": lambda: before("tags"),
-        "next_token": lambda: after("tokens"),
-        "next_pos": lambda: after("tags"),
-        "is_sentence_initial": lambda: F.transform(places, lambda i: (i == 1).cast("int")),
-        "is_after_punctuation": lambda: F.transform(before("tags"), lambda x: (x == PUNCTUATION_TAG).cast("int")),
-        "near_location": lambda: _neighbours_any(is_tag(lambda x: x.isin(location_tags)), near),
-    }
-    return tagged.where(n > 0).select(*keep, *(made[f]().alias(f) for f in fields))
+class Flat:
+    """The tokens of the sentences of an Arrow batch one after the other, with what is asked of them. Sentences without tokens are left out."""
+
+    def __init__(self, batch: pa.RecordBatch, near: int, location_tags: list[str]):
+        batch = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(batch["tags"]), 0), 0))
+        self.batch, self.near, self.location_tags = batch, near, location_tags
+        size = pc.list_value_length(batch["tags"]).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.row = np.repeat(np.arange(len(size)), size)
+        self.n, self.start = size[self.row], (np.cumsum(size) - size)[self.row]
+        self.at = np.arange(len(self.row))
+        self.i = self.at - self.start + 1
+        self.tokens, tags = batch["tokens"].flatten(), batch["tags"].flatten().dictionary_encode()
+        self.tag, self.kinds = tags.indices.to_numpy(zero_copy_only=False), tags.dictionary.to_pylist()
+        self.tags = tags.cast("string")
+
+    def is_tag(self, test: Callable[[str], bool]) -> np.ndarray:
+        return np.array([bool(test(k)) for k in self.kinds], bool)[self.tag]
+
+    def _beside(self, values: pa.Array, step: int, at: np.ndarray) -> pa.Array:
+        """The values a step away inside the sentence, '' beyond its ends."""
+        inside = (self.i[at] + step >= 1) & (self.i[at] + step <= self.n[at])
+        return pa.concat_arrays([values, pa.array([""], "string")]).take(pa.array(np.where(inside, at + step, len(values))))
+
+    def get(self, field: str, at: np.ndarray) -> pa.Array:
+        """A field of the tokens at these places."""
+        i, n = self.i[at], self.n[at]
+        if field in ("token", "pos"):
+            return (self.tokens if field == "token" else self.tags).take(pa.array(at))
+        if field in ("prev_token", "prev_pos", "next_token", "next_pos"):
+            return self._beside(self.tokens if field.endswith("token") else self.tags, -1 if field.startswith("prev") else 1, at)
+        if field == "token_position_ratio":  # half-even at 6 places, in whole numbers
+            q, r = np.divmod(i * 1_000_000, n)
+            return pa.array((q + ((2 * r > n) | ((2 * r == n) & (q % 2 == 1)))) / 1e6)
+        if field == "near_location":
+            so_far = np.concatenate([[0], np.cumsum(self.is_tag(self.location_tags.__contains__))])
+            low, high = np.maximum(at - self.near, self.start[at]), np.minimum(at + self.near + 1, self.start[at] + n)
+            value = so_far[high] > so_far[low]
+        elif field == "is_after_punctuation":
+            value = (i > 1) & self.is_tag(PUNCTUATION_TAG.__eq__)[at - 1]
+        else:
+            value = {
+                "token_index": lambda: i,
+                "is_verb": lambda: self.is_tag(lambda x: x.startswith(VERB_MARK))[at],
+                "is_location": lambda: self.is_tag(self.location_tags.__contains__)[at],
+                "is_sentence_initial": lambda: i == 1,
+            }[field]()
+        return pa.array(value.astype(np.int32))
+
+
+TYPES = {f: "int" for f in CONTEXT} | {f: "string" for f in ("token", "pos", "prev_token", "prev_pos", "next_token", "next_pos")} | {"token_position_ratio": "double"}
+#: Rows of an Arrow batch that goes back to Spark.
+BATCH = 50_000
+
+
+def _schema(df: DataFrame, keep: list[str], fields: dict[str, str]) -> str:
+    return ", ".join(f"`{k}` {t}" for k, t in [*((k, df.schema[k].dataType.simpleString()) for k in keep), *fields.items()])
 
 
 def token_context(
@@ -87,10 +102,18 @@ def token_context(
     but the arrays, if none are named) and the fields that are asked for: prev_token, prev_pos,
     next_token, next_pos ('' at the ends), is_verb, is_location, token_position_ratio (6 places),
     is_sentence_initial, is_after_punctuation, near_location (a location up to ``near`` tokens
-    away, or itself). Only these are made, each as an array of the sentence's own."""
+    away, or itself). Only these are made, for whole Arrow batches of sentences at once."""
     keep = [c for c in tagged.columns if c not in ("tokens", "tags")] if keep is None else keep
-    rows = _context_arrays(tagged, fields, near, location_tags, keep)
-    return rows.select(*keep, F.inline(F.arrays_zip(*(F.col(f) for f in fields))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = Flat(batch, near, location_tags)
+            for i in range(0, len(flat.at), BATCH):
+                at = flat.at[i : i + BATCH]
+                row = pa.array(flat.row[at])
+                yield pa.RecordBatch.from_pydict({k: flat.batch[k].take(row) for k in keep} | {f: flat.get(f, at) for f in fields})
+
+    return tagged.select(*keep, "tokens", "tags").mapInArrow(run, _schema(tagged, keep, {f: TYPES[f] for f in fields}))
 
 
 def token_offsets(sentence: Column, tokens: Column) -> Column:
@@ -122,35 +145,39 @@ def sentence_stats(tagged: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-VERB_FIELDS = ["token", "pos", "token_position_ratio", "prev_token", "prev_pos", "next_token", "next_pos", "is_sentence_initial", "is_after_punctuation", "near_location"]
 #: Kinds of rows of ``verb_rows``: a verb's place; a verb of a sentence, once; a frame of a sentence, once.
 PLACE, VERB, FRAME = 0, 1, 2
+RATES = ["token_position_ratio", "is_sentence_initial", "is_after_punctuation", "near_location"]
 
 
 def verb_rows(tagged: DataFrame, keep: list[str], near: int = NEAR, location_tags: list[str] = LOCATION_TAGS) -> DataFrame:
     """``keep``, kind, verb, frame (``prevtag:prev <- verb -> nexttag:next``), pos and the rates' fields of
     every verb, and of each sentence its verbs and frames once more, so that sentences are counted
-    without a distinct count."""
-    of = lambda x, *names: [x[k] for k in names]
-
-    def frame(x: Column) -> Column:
-        token, pt, pp, nt, np_ = of(x, "token", "prev_token", "prev_pos", "next_token", "next_pos")
-        return F.concat(pp, F.lit(":"), pt, F.lit(" <- "), token, F.lit(" -> "), np_, F.lit(":"), nt)
-
-    rates = {"token_position_ratio": "double", "is_sentence_initial": "int", "is_after_punctuation": "int", "near_location": "int"}
-
-    def row(kind: int, verb: Column, frame_: Column | None, pos: Column | None, x: Column | None) -> Column:
-        none = F.lit(None).cast("string")
-        own = [(x[k] if x is not None else F.lit(None)).cast(t).alias(k) for k, t in rates.items()]
-        return F.struct(F.lit(kind).alias("kind"), verb.alias("verb"), (none if frame_ is None else frame_).alias("frame"), (none if pos is None else pos).alias("pos"), *own)
-
-    rows = _context_arrays(tagged, VERB_FIELDS, near, location_tags, keep)
-    rows = rows.select(*keep, F.filter(F.arrays_zip(*VERB_FIELDS), lambda x: x["pos"].startswith(VERB_MARK)).alias("_z")).where(F.size("_z") > 0)
-    places = F.transform("_z", lambda x: row(PLACE, x["token"], frame(x), x["pos"], x))
-    verbs = F.transform(F.array_distinct(F.transform("_z", lambda x: x["token"])), lambda v: row(VERB, v, None, None, None))
-    frames = F.array_distinct(F.transform("_z", lambda x: F.struct(x["token"].alias("v"), frame(x).alias("f"))))
-    frames = F.transform(frames, lambda x: row(FRAME, x["v"], x["f"], None, None))
-    return rows.select(*keep, F.inline(F.concat(places, verbs, frames)))
+    without a distinct count. Made for whole Arrow batches of sentences at once."""
+    fields = {"kind": "int", "verb": "string", "frame": "string", "pos": "string"} | {f: TYPES[f] for f in RATES}
+
+    def rows(flat: Flat, at: np.ndarray, kind: int, made: dict[str, pa.Array]) -> pa.RecordBatch:
+        none = {k: pa.nulls(len(at), {"int": "int32"}.get(t, t)) for k, t in fields.items()}
+        row = pa.array(flat.row[at])
+        return pa.RecordBatch.from_pydict({k: flat.batch[k].take(row) for k in keep} | none | {"kind": pa.array(np.full(len(at), kind, np.int32))} | made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = Flat(batch, near, location_tags)
+            at = flat.at[flat.is_tag(lambda x: x.startswith(VERB_MARK))]
+            if not len(at):
+                continue
+            verb, pp, pt, np_, nt = (flat.get(f, at) for f in ("token", "prev_pos", "prev_token", "next_pos", "next_token"))
+            frame = pc.binary_join_element_wise(pp, ":", pt, " <- ", verb, " -> ", np_, ":", nt, "")
+            yield rows(flat, at, PLACE, {"verb": verb, "frame": frame, "pos": flat.get("pos", at)} | {f: flat.get(f, at) for f in RATES})
+            v, f = verb.dictionary_encode(), frame.dictionary_encode()
+            own = flat.row[at] * len(v.dictionary) + v.indices.to_numpy()
+            first = np.unique(own, return_index=True)[1]
+            yield rows(flat, at[first], VERB, {"verb": verb.take(pa.array(first))})
+            first = np.unique(own * len(f.dictionary) + f.indices.to_numpy(), return_index=True)[1]
+            yield rows(flat, at[first], FRAME, {"verb": verb.take(pa.array(first)), "frame": frame.take(pa.array(first))})
+
+    return tagged.select(*keep, "tokens", "tags").mapInArrow(run, _schema(tagged, keep, fields))
 
 
 def _mean(x: Column | str) -> Column:

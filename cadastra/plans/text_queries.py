@@ -34,11 +34,16 @@ def tag(t: Column) -> Column:
     return F.when(t.isin(list(".,!?;:|")), "w").when(verb, "v").when(F.left(t, F.lit(1)).between("A", "Z"), "LOC").otherwise("n")
 
 
-def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences with their tokens and tags, made once: a filter on them would make them again."""
+def tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with their tokens and tags, for one reader that filters nothing by them."""
     sents = notices.sentences(parsed(spark, sf_dir)).withColumnRenamed("source_file", "doc_id")
     got = tokens.tag_sentences(sents, F.regexp_extract_all("sentence", F.lit(TOKEN), F.lit(0)), tag)
-    return settle(got.select(*KEYS, "year", "sentence", "tokens", "tags"))
+    return got.select(*KEYS, "year", "sentence", "tokens", "tags")
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tagging``, made once: a filter on them would make them again."""
+    return settle(tagging(spark, sf_dir))
 
 
 def q_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +78,7 @@ def q_primary_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_context(tagged(spark, sf_dir), keep=KEYS)
+    return tokens.token_context(tagging(spark, sf_dir), keep=KEYS)
 
 
 def q_sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,11 +86,11 @@ def q_sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.verb_frequency(tokens.verb_rows(tagged(spark, sf_dir), ["year"]), min_count=2)
+    return tokens.verb_frequency(tokens.verb_rows(tagging(spark, sf_dir), ["year"]), min_count=2)
 
 
 def q_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.context_frames(tokens.verb_rows(tagged(spark, sf_dir), ["year"]))
+    return tokens.context_frames(tokens.verb_rows(tagging(spark, sf_dir), ["year"]))
 
 
 def q_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +98,7 @@ def q_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sents = tagged(spark, sf_dir)
+    sents = tagging(spark, sf_dir)
     rows = settle(tokens.verb_rows(sents, [*KEYS, "year"]))
     return tokens.relation_candidates(tokens.verb_frequency(rows, min_count=3), tokens.context_frames(rows), tokens.examples(rows, sents, KEYS, "sentence", 3))
 

@@ -243,3 +243,17 @@ def test_serving_bounds_and_filters(spark):
     assert [r.k for r in df.where(serving.holds("50%", ["t"])).collect()] == [1]
     assert df.where(serving.where_all(l="a", t=None)).count() == 2
     assert [r.k for r in serving.limited(df, [F.desc("k")], 2).collect()] == [3, 2] and serving.limited(df, ["k"]).count() == 3
+
+
+def test_token_context_in_batches_of_arrays(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "BATCH", 3)
+    rows = [(1, ["a", "b", "c", "d", "e"], ["v", "w", "n", "n", "LOC"]), (2, [], []), (3, None, None), (4, ["x"] * 128, ["v", "vn"] * 64)]
+    df = spark.createDataFrame(rows, "k long, tokens array<string>, tags array<string>")
+    got = tokens.token_context(df)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.k, r.token_index): r for r in got.collect()}
+    assert len(rows) == 133 and [rows[1, i].near_location for i in range(1, 6)] == [0, 1, 1, 1, 1]
+    assert (rows[4, 1].prev_token, rows[4, 1].prev_pos, rows[1, 5].next_token, rows[1, 3].prev_pos, rows[1, 3].is_after_punctuation) == ("", "", "", "w", 1)
+    assert rows[4, 1].token_position_ratio == 0.007812 and rows[4, 3].token_position_ratio == 0.023438  # half-even
+    verbs = tokens.verb_rows(df, ["k"]).collect()
+    assert [sum(r.kind == kind for r in verbs) for kind in (tokens.PLACE, tokens.VERB, tokens.FRAME)] == [129, 2, 5]

@@ -52,11 +52,12 @@ def keyword_subgraph(nodes: DataFrame, affiliations: DataFrame, dynamic: DataFra
     has no way to the root is tied to the unit that its first evidence names, or to the root. Without
     a unit of that name there is no root, and units anywhere count. dynamic: subject, predicate,
     object, record_id, year, evidence_text. Only ``children`` and ``limit`` bound what is shown; the tables
-    are read once and met by equi-joins.
+    are made once and met by equi-joins.
     """
     spark = nodes.sparkSession
-    nodes = nodes.where("admin_level != 'country'")
-    up = affiliations.where("object_node_id != 'CN'")
+    # both are read again and again, and a caller may make them by joins of their own
+    nodes = settle(nodes.where("admin_level != 'country'").select("node_id", "admin_code", "admin_name", "admin_level", "full_path"))
+    up = settle(affiliations.where("object_node_id != 'CN'").select("subject_node_id", "object_node_id"))
     found = resolve(nodes, "admin_name", "full_path", "admin_code", spark.createDataFrame([(keyword,)], "name string"))
     root = settle(found.join(nodes.select(F.col("admin_code").alias("code"), F.col("node_id").alias("node")), "code").select("node"))
     rooted = root.first()
@@ -66,9 +67,10 @@ def keyword_subgraph(nodes: DataFrame, affiliations: DataFrame, dynamic: DataFra
     missing = reduce(lambda a, b: a | b, (F.col("name").startswith(s) for s in STAND_INS))
     own = nodes.select(F.col("admin_name").alias("name"), "admin_code", F.col("node_id").alias("node")).join(names.where(~missing), "name")
     units = own.groupBy("name").agg(F.min_by("node", F.struct(F.length("admin_code"), "admin_code")).alias("node"))
+    lines = chains(units, up)
     if rooted:
         # units under the root, or the root itself
-        lines = chains(units, up)
+        above = settle(chains(root, up).select("node"))
         under = lines.join(root, "node").select(F.col("start").alias("node")).distinct()
         units = units.join(under, "node")
     units = settle(units.select("name", "node"))
@@ -80,13 +82,12 @@ def keyword_subgraph(nodes: DataFrame, affiliations: DataFrame, dynamic: DataFra
     once = Window.partitionBy("source", "target", "relation", "record_id").orderBy("evidence_text")
     links = settle(links.withColumn("_k", F.row_number().over(once)).where("_k = 1").drop("_k"))
 
-    shown = chains(units.select("node"), up).select("node")
+    shown = lines.join(units.select(F.col("node").alias("start")), "start", "left_semi").select("node")
     if rooted:
-        lines = chains(units.select("node"), up)
-        low = lines.join(chains(root, up).select("node"), "node", "left_anti").select("node")
+        low = shown.join(above, "node", "left_anti").select("node")
         below = up.join(root.select(F.col("node").alias("object_node_id")), "object_node_id").select(F.col("subject_node_id").alias("node_id"))
         below = nodes.join(below, "node_id").orderBy("admin_code", "admin_name").limit(children).select(F.col("node_id").alias("node"))
-        shown = low.unionByName(chains(root, up).select("node")).unionByName(below)
+        shown = low.unionByName(above).unionByName(below)
     shown = settle(shown.distinct())
 
     def static(shown: DataFrame) -> DataFrame:
@@ -98,7 +99,7 @@ def keyword_subgraph(nodes: DataFrame, affiliations: DataFrame, dynamic: DataFra
     all_links = settle(static(shown).unionByName(links))
     if rooted:
         tied = context_links(nodes, up, all_links, links, ends, root, rooted["node"])
-        more = chains(tied.select(F.col("source").alias("node")), up).join(chains(root, up).select("node"), "node", "left_anti").select("node")
+        more = chains(tied.select(F.col("source").alias("node")), up).join(above, "node", "left_anti").select("node")
         shown = settle(shown.unionByName(more).distinct())
         all_links = static(shown).unionByName(links).unionByName(tied)
     texts = ends.where(~F.col("unit")).select("id", "name", "category", F.lit(None).cast("string").alias("admin_level"), F.col("name").alias("value"))

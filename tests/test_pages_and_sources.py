@@ -98,6 +98,20 @@ def test_subgraph_ties_parts_by_their_evidence(town):
     assert ("ADM_1302", "TEXT::新乙市县") in {(r.source, r.target) for r in links.where("edge_type = 'context'").collect()}
 
 
+def test_subgraph_makes_its_tables_once(spark, town):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    nodes = town[0].mapInArrow(seen, town[0].schema)
+    up = town[1].mapInArrow(seen, town[1].schema)
+    nodes_, links = subgraph.keyword_subgraph(nodes, up, town[2], "乙市")
+    assert nodes_.count() and links.count() and made.value == town[0].count() + town[1].count()
+
+
 def test_subgraph_without_a_unit(town):
     nodes, links = subgraph.keyword_subgraph(*town, "旧乙市")
     assert {r.id for r in nodes.collect()} == {"TEXT::旧乙市县", "TEXT::新乙市县"} and links.count() == 1

@@ -36,9 +36,10 @@ def clean_cell(x: Column) -> Column:
     return F.trim(F.coalesce(x.cast("string"), F.lit("")))
 
 
-def split_sentences(x: Column, ends: str = SENTENCE_ENDS) -> Column:
-    """Array of the sentences of a cleaned text, each with its end mark."""
-    parts = F.split(clean_line(F.coalesce(x, F.lit(""))), rf"(?<=[{ends}])\s*")
+def split_sentences(x: Column, ends: str = SENTENCE_ENDS, cleaned: bool = False) -> Column:
+    """Array of the sentences of a text, each with its end mark. A text that ``clean_line`` has been through isn't cleaned again."""
+    line = F.coalesce(x, F.lit(""))
+    parts = F.regexp_extract_all(line if cleaned else clean_line(line), F.lit(f"[^{ends}]+[{ends}]?|[{ends}]"), F.lit(0))
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 

@@ -39,13 +39,18 @@ def parse_lines(
         F.when(F.col("skip_reason") == "", body).otherwise("").alias("parsed_text"),
         (F.col("skip_reason") != "").cast("int").alias("is_skipped"),
         "skip_reason",
-        F.when(F.col("skip_reason") == "", split_sentences(body, ends)).otherwise(F.array().cast("array<string>")).alias("sentences"),
+        F.when(F.col("skip_reason") == "", split_sentences(body, ends, cleaned=True)).otherwise(F.array().cast("array<string>")).alias("sentences"),
     )
 
 
 def sentences(parsed: DataFrame, limit: int = 0) -> DataFrame:
-    """One row per sentence with a position (sentence_no) inside its line, in file order."""
-    rows = parsed.select("source_file", "year", "line_no", "item_no", F.posexplode("sentences").alias("sentence_no", "sentence"))
+    """One row per sentence with a position (sentence_no) inside its line, in file order.
+
+    Lines without sentences are left out afterwards: Spark guards a plain posexplode by a filter on the
+    array's size, which cleans and splits every line again, several times over.
+    """
+    rows = parsed.select("source_file", "year", "line_no", "item_no", F.posexplode_outer("sentences").alias("sentence_no", "sentence"))
+    rows = rows.where(F.col("sentence_no").isNotNull())
     return rows.orderBy("source_file", "line_no", "sentence_no").limit(limit) if limit > 0 else rows
 
 

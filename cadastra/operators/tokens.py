@@ -227,35 +227,29 @@ def context_frames(rows: DataFrame, year: str = "year", min_count: int = 1) -> D
 def verb_cooccurrence(tagged: DataFrame, sentence_keys: list[str], sentence: str, min_count: int = 1) -> DataFrame:
     """Unordered pairs of different verbs of a sentence: summed counts, sentences, first example.
 
-    Pairs come from each sentence's own distinct verbs, so their number is bounded by it. Sentences
-    themselves are joined to the few examples at the end.
+    Pairs come from each sentence's own distinct verbs, so their number is bounded by it. Only sentences
+    with a pair are joined to the examples at the end.
     """
     verbs = F.array_sort(F.transform(F.filter(F.arrays_zip("tokens", "tags"), lambda x: x["tags"].startswith(VERB_MARK)), lambda x: x["tokens"]))
-    per = tagged.select(*sentence_keys, verbs.alias("_w")).where(F.size(F.array_distinct("_w")) > 1)
+    per = tagged.select(*sentence_keys, F.col(sentence).alias("example_sentence"), verbs.alias("_w"))
     # the verbs in order, each with its number: the distance of its first place from the next verb's
     per = per.withColumn("_d", F.array_distinct("_w"))
     firsts = F.concat(F.transform("_d", lambda v: F.array_position("_w", v)), F.array(F.size("_w").cast("long") + 1))
-    per = per.withColumn("_at", firsts).select(
-        *sentence_keys, F.transform("_d", lambda v, i: F.struct(v.alias("verb"), (F.get("_at", i + 1) - F.get("_at", i)).alias("tf"))).alias("_v")
+    numbered = F.transform("_d", lambda v, i: F.struct(v.alias("verb"), (F.get("_at", i + 1) - F.get("_at", i)).alias("tf")))
+    per = per.withColumn("_at", firsts).select(*sentence_keys, "example_sentence", numbered.alias("_v"))
+    # settled before the filter, which would make the tokens once more
+    per = settle(per).where(F.size("_v") > 1)
+    each = per.select(F.struct(*sentence_keys).alias("_k"), "_v", F.posexplode("_v").alias("_i", "_a"))
+    rows = each.select("_k", "_a", F.inline(F.slice("_v", F.col("_i") + 2, F.size("_v")))).select(
+        F.col("_a.verb").alias("verb_a"), F.col("verb").alias("verb_b"), (F.col("_a.tf") + F.col("tf")).alias("score"), "_k"
     )
-    pairs = F.flatten(
-        F.transform(
-            "_v",
-            lambda a, i: F.transform(
-                F.slice("_v", i + 2, F.size("_v")),
-                lambda b: F.struct(a["verb"].alias("verb_a"), b["verb"].alias("verb_b"), (a["tf"] + b["tf"]).alias("score")),
-            ),
-        )
-    )
-    rows = per.select(F.struct(*sentence_keys).alias("_k"), F.inline(pairs))
     out = rows.groupBy("verb_a", "verb_b").agg(
         F.sum("score").alias("cooccurrence_score"),
         F.count("*").alias("sentence_count"),
         F.min("_k").alias("_k"),
     )
     out = out.where(F.col("sentence_count") >= min_count).select("*", *(F.col(f"_k.{k}").alias(k) for k in sentence_keys)).drop("_k")
-    texts = tagged.select(*sentence_keys, F.col(sentence).alias("example_sentence"))
-    return out.join(texts, sentence_keys).drop(*sentence_keys)
+    return out.join(per.select(*sentence_keys, "example_sentence"), sentence_keys).drop(*sentence_keys)
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:

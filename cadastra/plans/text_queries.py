@@ -15,6 +15,7 @@ HEADER = r"^(The|Of|In|A|An|That) (.+)$"
 TITLE, NOTE = "All rights reserved", "Licensed under"
 CUES = {"with": "with", "action": "ing|ed", "noun": "tion", "was": "was|were", "article": "the"}
 TOKEN = r"[^\s.,!?;:|]+|[.,!?;:|]"
+VERB_END = r"(?:ing|ed)(?![^\s.,!?;:|])"
 KEYS = ["doc_id", "line_no", "sentence_no"]
 
 
@@ -34,9 +35,13 @@ def tag(t: Column) -> Column:
     return F.when(t.isin(list(".,!?;:|")), "w").when(verb, "v").when(F.left(t, F.lit(1)).between("A", "Z"), "LOC").otherwise("n")
 
 
-def tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences with their tokens and tags, for one reader that filters nothing by them."""
+def tagging(spark: SparkSession, sf_dir: str, verbs: int = 0) -> DataFrame:
+    """Sentences with their tokens and tags, for one reader that filters nothing by them; only those with
+    at least so many tokens that end like a verb."""
     sents = notices.sentences(parsed(spark, sf_dir)).withColumnRenamed("source_file", "doc_id")
+    if verbs:
+        some = F.col("sentence").contains("ing") | F.col("sentence").contains("ed")
+        sents = sents.where(some & F.col("sentence").rlike(".*".join([VERB_END] * verbs)))
     got = tokens.tag_sentences(sents, F.regexp_extract_all("sentence", F.lit(TOKEN), F.lit(0)), tag)
     return got.select(*KEYS, "year", "sentence", "tokens", "tags")
 
@@ -94,7 +99,7 @@ def q_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.verb_cooccurrence(tagged(spark, sf_dir), KEYS, "sentence")
+    return tokens.verb_cooccurrence(tagging(spark, sf_dir, verbs=2), KEYS, "sentence")  # a sentence with fewer has no pair
 
 
 def q_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators without an SQL twin: brute force, invariants, round trips."""
 
 import os
+import re
 import shutil
 import subprocess
 import sys
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cadastra.functions import text
 from cadastra.operators import entities, forecast, graph, labels, notices, panels, serving, spatial, tokens
+from cadastra.plans import text_queries
 from cadastra.sources import sinks, tables
 from cadastra.streaming import events as stream
 
@@ -257,3 +259,57 @@ def test_token_context_in_batches_of_arrays(spark, monkeypatch):
     assert rows[4, 1].token_position_ratio == 0.007812 and rows[4, 3].token_position_ratio == 0.023438  # half-even
     verbs = tokens.verb_rows(df, ["k"]).collect()
     assert [sum(r.kind == kind for r in verbs) for kind in (tokens.PLACE, tokens.VERB, tokens.FRAME)] == [129, 2, 5]
+
+
+def test_sentences_are_split_once_a_line(spark):
+    lines = spark.createDataFrame([("f", 2001, 1, "a.b . c!"), ("f", 2001, 2, " "), ("f", 2001, 3, None)], "source_file string, year int, line_no int, raw_line string")
+    got = notices.sentences(notices.parse_lines(lines, ends=".!"))
+    plan = got.drop("item_no")._jdf.queryExecution().optimizedPlan().toString()  # without it nothing holds a filter above the window
+    assert plan.count("filter(transform(") == 1  # Spark's guard of a plain posexplode had the whole expression once more
+    assert [(r.line_no, r.sentence_no, r.sentence) for r in got.collect()] == [(1, 0, "a."), (1, 1, "b ."), (1, 2, "c!")]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.text(" .!?;a　\u0085 \n\tß😀", max_size=12), min_size=1, max_size=20))
+def test_sentences_equal_a_split(spark, lines):
+    df = spark.createDataFrame(list(enumerate(lines)), "k int, s string")
+    got = df.select("k", text.split_sentences(F.col("s"), ".!?;").alias("a"), text.split_sentences(text.clean_line(F.col("s")), ".!?;", cleaned=True).alias("b")).collect()
+    for r in got:
+        want = [x.strip(" ") for x in re.split(r"(?<=[.!?;]) *", re.sub(r"\s+", " ", lines[r.k]).strip(" "))]
+        assert r.a == r.b == [x for x in want if x]
+
+
+def test_cooccurrence_makes_tokens_once_and_joins_only_sentences_with_pairs(spark, monkeypatch):
+    made, joined = spark.sparkContext.accumulator(0), []
+    words = ["walking", "told", "united", "sing", "ed", "x"]
+    rng = np.random.default_rng(7)
+    said = [(i, " ".join(words[j] for j in rng.integers(0, 6, rng.integers(0, 7)))) for i in range(60)] + [(60, ""), (61, " ".join(f"v{i:03d}" for i in range(120)))]
+
+    def split(s):
+        made.add(1)
+        return s.split(" ") if s else []
+
+    settle = tokens.settle
+    monkeypatch.setattr(tokens, "settle", lambda df: joined.append(settle(df)) or joined[-1])
+    df = spark.createDataFrame(said, "k int, sentence string")
+    df = tokens.tag_sentences(df, F.udf(split, "array<string>")("sentence"), lambda t: F.when(t.isin("x", "ed"), "n").otherwise("v"))
+    got = {(r.verb_a, r.verb_b): tuple(r)[2:] for r in tokens.verb_cooccurrence(df, ["k"], "sentence").select("verb_a", "verb_b", "cooccurrence_score", "sentence_count", "example_sentence").collect()}
+    want = {}
+    for _, s in said:
+        n = {w: s.split(" ").count(w) for w in s.split(" ") if w not in ("x", "ed", "")}
+        for a in n:
+            for b in n:
+                if a < b:
+                    score, count, first = want.get((a, b), (0, 0, s))
+                    want[a, b] = score + n[a] + n[b], count + 1, first
+    assert got == want and made.value == len(said) and len(joined) == 1
+
+
+def test_cooccurrence_leaves_out_no_sentence_with_a_pair(spark, tmp_path):
+    texts = ["united\nhe WalkINg walked, singing; ed ing led|fed:", "a.ended-x ended ended.being;bed", "led　fed", "led\u0085fed. Xed ted", "ing ed", "leding fed1 shed", None, "fed,led"]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda df: sorted(tuple(r) for r in df.select("verb_a", "verb_b", "cooccurrence_score", "sentence_count", "example_sentence").collect())
+    got = key(text_queries.q_cooccurrence(spark, str(tmp_path)))
+    assert got == key(tokens.verb_cooccurrence(text_queries.tagging(spark, str(tmp_path)), text_queries.KEYS, "sentence"))
+    assert [r[:4] for r in got] == [("fed", "led", 8, 4), ("leding", "shed", 2, 1), ("singing", "walked", 2, 1)]
